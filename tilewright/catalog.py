@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import audits, classifiers, evaluation, keys, prep, splits, tiles  # noqa: F401
+from .plans.base import ORACLE, QUERIES  # noqa: F401

@@ -9,11 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once for each application."""
+    """Send the package to the executors, once for each application. Rows here are whole texts, so a session with Spark's default Arrow batch gets a smaller one: it bounds what a worker holds."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "1000")
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent
