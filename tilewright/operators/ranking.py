@@ -129,9 +129,19 @@ def mutual_information_of(x: np.ndarray, label: np.ndarray, k: int = 3) -> float
             d[ok] = np.maximum(v[i[ok]] - v[i[ok] - lo], v[i[ok] + kk - lo] - v[i[ok]])
             d[~ok] = np.inf
             best = np.minimum(best, d)
-        radius[order], ks[order] = np.nextafter(best, 0), kk
+        radius[order], ks[order] = best, kk
+    # rows nearer than the radius, itself included: differences decide, since sums round
     s = np.sort(x)
-    m = np.searchsorted(s, x + radius, "right") - np.searchsorted(s, x - radius, "left")
+    lo, hi = np.searchsorted(s, x - radius, "right"), np.searchsorted(s, x + radius, "left")
+    while (move := (lo > 0) & (x - s[np.maximum(lo - 1, 0)] < radius)).any():
+        lo = lo - move
+    while (move := (lo < n) & (x - s[np.minimum(lo, n - 1)] >= radius) & (s[np.minimum(lo, n - 1)] < x)).any():
+        lo = lo + move
+    while (move := (hi < n) & (s[np.minimum(hi, n - 1)] - x < radius)).any():
+        hi = hi + move
+    while (move := (hi > 0) & (s[np.maximum(hi - 1, 0)] - x >= radius) & (s[np.maximum(hi - 1, 0)] > x)).any():
+        hi = hi - move
+    m = np.maximum(hi - lo, 1)
     per = np.bincount(code)[code]
     value = _digamma(np.array([n]))[0] + _digamma(ks).mean() - _digamma(per).mean() - _digamma(m).mean()
     return max(0.0, float(value))
