@@ -20,7 +20,7 @@ from . import words as W
 #: Fixed value: the public split pattern of this family of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces that a worker remembers; beyond, it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _SLOTS = 1 << 20
 _CHARS = 1 << 19
 _CONTRACTION = re.compile("'(?:[stmd]|re|ve|ll)")
@@ -59,7 +59,8 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.count = 0
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)  # of pieces, sorted by hash
         self.slot_hash, self.slot_at = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int64)
         self.pool, self.used = np.empty(1 << 16, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32), 0
         self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
@@ -84,7 +85,8 @@ class PieceEncoder:
                 new[at[i] + np.cumsum([0, *sizes[:-1]])] = True
         return np.flatnonzero(new)
 
-    def _learn(self, pieces: list[str], hashes: list[int]) -> None:
+    def _learn(self, pieces: list[str], hashes: np.ndarray) -> None:
+        """pieces and their hashes, ascending, get the next numbers."""
         plain = [k for k, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
         taken = set(plain)
         found: list = [None] * len(pieces)
@@ -98,7 +100,7 @@ class PieceEncoder:
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)):
             found[k] = e.ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        need, n = self.used + int(sizes.sum()), len(self.known)
+        need, n = self.used + int(sizes.sum()), self.count
         if need > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.empty(need, self.pool.dtype)])
         if n + len(found) > len(self.begin):
@@ -107,7 +109,10 @@ class PieceEncoder:
         self.begin[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(found)] = sizes
         self.used = need
-        self.known.update(zip(hashes, range(n, n + len(found))))
+        self.count = n + len(found)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.numbers = np.insert(self.numbers, at, np.arange(n, self.count))
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -120,24 +125,20 @@ class PieceEncoder:
         size = np.diff(np.append(starts, len(code)))
         place = np.arange(len(code)) - np.repeat(starts, size)
         h = W.mix(np.add.reduceat((code.astype(np.uint64) + np.uint64(7)) * _ODD * W._pow(int(size.max()))[place], starts))
-        if len(self.known) > REMEMBERED:
+        if self.count > REMEMBERED:
             self.forget()
         slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
         piece = self.slot_at[slot]
         miss = np.flatnonzero(self.slot_hash[slot] != h)
         if len(miss):
             u, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            keys, get = u.tolist(), self.known.get
-            found = [get(k, -1) for k in keys]
-            new = [k for k, x in enumerate(found) if x < 0]
-            if new:
+            k = np.minimum(np.searchsorted(self.hashes, u), max(len(self.hashes) - 1, 0))
+            new = self.hashes[k] != u if len(self.hashes) else np.ones(len(u), bool)
+            found = np.where(new, 0, self.numbers[k]) if len(self.hashes) else np.zeros(len(u), np.int64)
+            if new.any():
                 where = miss[first[new]]
-                a, b = starts[where].tolist(), (starts[where] + size[where]).tolist()
-                n = len(self.known)
-                self._learn([whole[x:y] for x, y in zip(a, b)], [keys[k] for k in new])
-                for j, k in enumerate(new):
-                    found[k] = n + j
-            found = np.array(found, np.int64)
+                found[new] = np.arange(self.count, self.count + len(where))
+                self._learn([whole[x:y] for x, y in zip(starts[where].tolist(), (starts[where] + size[where]).tolist())], u[new])
             piece[miss] = found[back]
             s = (u & np.uint64(_SLOTS - 1)).astype(np.int64)
             self.slot_hash[s], self.slot_at[s] = u, found

@@ -32,13 +32,15 @@ from .scratch import Scratch
 
 MAGIC = b"TWR1"
 SHARD_TOKENS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 1024, 12
+ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 1536, 12
 _BITS = 18
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _buckets(keys: np.ndarray) -> np.ndarray:
-    return ((keys * _MUL) >> np.uint64(64 - _BITS)).astype(np.int64)
+    x = keys * _MUL
+    x >>= np.uint64(64 - _BITS)
+    return x.view(np.int64)
 
 
 def repair(ids: np.ndarray, at: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +49,7 @@ def repair(ids: np.ndarray, at: np.ndarray, terminals: int) -> tuple[np.ndarray,
     Within a round, of two chosen pairs that overlap the more frequent one is
     replaced (the left one, if they are as frequent).
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     ends = np.zeros(len(seq), bool)
     ends[(at[1:] - 1)[at[1:] > at[:-1]]] = True
     rules: list[np.ndarray] = []
@@ -55,11 +57,16 @@ def repair(ids: np.ndarray, at: np.ndarray, terminals: int) -> tuple[np.ndarray,
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
+        pair = seq[:-1].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= seq[1:]
         bucket = _buckets(pair)
-        free = ~ends[:-1]
-        often = np.bincount(bucket[free], minlength=1 << _BITS) >= LEAST_COUNT
-        where = np.flatnonzero(free & often[bucket])
+        bucket[ends[:-1]] = 1 << _BITS
+        total = np.bincount(bucket, minlength=(1 << _BITS) + 1)
+        total[-1] = 0
+        # a pair is at most as frequent as its bucket: what is left out can't be among the most frequent
+        least = max(LEAST_COUNT, int(np.partition(total, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]))
+        where = np.flatnonzero((total >= least)[bucket])
         if not len(where):
             break
         keys, counts = np.unique(pair[where], return_counts=True)
@@ -69,10 +76,13 @@ def repair(ids: np.ndarray, at: np.ndarray, terminals: int) -> tuple[np.ndarray,
         if len(best) > RULES_A_ROUND:
             best = np.sort(best[np.lexsort((keys[best], -counts[best]))[:RULES_A_ROUND]])
         keys, counts = keys[best], counts[best]
-        chosen = np.zeros(1 << _BITS, bool)
-        chosen[_buckets(keys)] = True
-        where = where[chosen[bucket[where]]]
-        rule = np.minimum(np.searchsorted(keys, pair[where]), len(keys) - 1)
+        own = _buckets(keys)
+        table = np.full((1 << _BITS) + 1, -1, np.int32)
+        by_count = np.argsort(counts, kind="stable")
+        table[own[by_count]] = by_count  # of pairs in one bucket, the most frequent; the others wait for a later round
+        found = table[bucket]
+        where = np.flatnonzero(found >= 0)
+        rule = found[where]
         hit = keys[rule] == pair[where]
         where, rule = where[hit], rule[hit]
         weight = counts[rule]
@@ -82,7 +92,7 @@ def repair(ids: np.ndarray, at: np.ndarray, terminals: int) -> tuple[np.ndarray,
         keep[:-1] &= ~touch | (weight[:-1] >= weight[1:])
         where, rule = where[keep], rule[keep]
         rules.append(np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        seq[where] = terminals + n_rules + rule
+        seq[where] = (terminals + n_rules + rule).astype(np.uint32)
         ends[where] = ends[where + 1]
         left = np.ones(len(seq), bool)
         left[where + 1] = False
