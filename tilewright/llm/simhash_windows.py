@@ -53,20 +53,23 @@ class _Block:
         self.weights = np.array([self._rarity(len(items), in_items[k]) for k in self.words.tolist()], np.int64)
         self.rare = self._rarity(len(items), 0)
         lengths = np.array([len(w) for _, w in items], np.int64)
-        # for each length: the items, their fingerprints, and per block of bits the items in order of its value
+        # for each length: the items, their fingerprints, and for each block of bits and value of it the set of items that have it
         self.by_length: dict[int, tuple] = {}
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+        edges = np.linspace(0, 64, radius + 2).astype(np.uint64)
+        self.shifts = edges[:-1]
+        self.masks = (np.uint64(1) << (edges[1:] - edges[:-1])) - np.uint64(1)
         for n in np.unique(lengths).tolist():
             which = np.flatnonzero(lengths == n)
-            prints = np.concatenate([self.fingerprints(items[i][1], np.zeros(1, np.int64), n) for i in which])
-            index = []
-            for shift, mask in self.blocks:
-                v = (prints >> shift & mask).astype(np.int64)
-                order = np.argsort(v, kind="stable")
-                index.append((order, np.searchsorted(v[order], np.arange(int(mask) + 2))))
+            prints = np.concatenate([self.fingerprints(self.running(items[i][1]), np.zeros(1, np.int64), n) for i in which])
+            index = np.zeros((radius + 1, int(self.masks.max()) + 1, (len(which) + 63) // 64), np.uint64)
+            for k, v in enumerate(self._values(prints)):
+                index[np.arange(radius + 1), v, k // 64] |= np.uint64(1) << np.uint64(k % 64)
             self.by_length[n] = which, prints, index
 
+    def _values(self, prints: np.ndarray) -> np.ndarray:
+        """The value of each block of bits of each fingerprint."""
+        return (prints[:, None] >> self.shifts & self.masks).astype(np.int64)
+
     @staticmethod
     def _bits(s: np.ndarray) -> np.ndarray:
         return (s >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
@@ -75,8 +78,8 @@ class _Block:
     def _rarity(n: int, holders: int) -> int:
         return round(16 * math.log2(2 + n / (1 + holders)))
 
-    def fingerprints(self, words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """SimHashes of the n-word windows at starts."""
+    def running(self, words: np.ndarray) -> np.ndarray:
+        """Running sums of the words' weighted vectors, from which every window's sum is a difference."""
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
             weight = np.where(self.words[at] == words, self.weights[at], self.rare)
@@ -85,6 +88,11 @@ class _Block:
         bits = np.unpackbits(W.mix(words ^ np.uint64(0x5151)).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
         total = np.zeros((len(words) + 1, 64), np.int64)
         np.cumsum(bits * weight[:, None], axis=0, out=total[1:])
+        return total
+
+    @staticmethod
+    def fingerprints(total: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """SimHashes of the n-word windows at starts."""
         return np.packbits(total[starts + n] > total[starts], axis=1).view(np.uint64).reshape(-1)
 
     def hits(self, s: np.ndarray) -> np.ndarray:
@@ -111,15 +119,8 @@ class _Block:
     def candidates(self, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) of n words with fingerprints within the radius."""
         which, own, index = self.by_length[n]
-        pairs = []
-        for (shift, mask), (order, begin) in zip(self.blocks, index):
-            v = (prints >> shift & mask).astype(np.int64)
-            count = begin[v + 1] - begin[v]
-            w = np.repeat(np.arange(len(prints)), count)
-            k = order[np.repeat(begin[v] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            pairs.append(w * len(own) + k)
-        code = np.unique(np.concatenate(pairs))
-        w, k = code // len(own), code % len(own)
+        sets = np.bitwise_or.reduce(index[np.arange(len(self.shifts)), self._values(prints)], axis=1)
+        w, k = np.nonzero(np.unpackbits(sets.view(np.uint8), axis=1, bitorder="little"))
         near = np.bitwise_count(prints[w] ^ own[k]) <= self.radius
         return w[near], which[k[near]]
 
@@ -137,11 +138,13 @@ class _Block:
         known[at + 1] = 1
         known = np.cumsum(known)
         best: dict[int, tuple] = {}
-        for n in self.by_length:
-            starts = self.starts(known, n)
-            if not len(starts):
-                continue
-            w, item = self.candidates(self.fingerprints(words, starts, n), n)
+        found = [(n, starts) for n in self.by_length if len(starts := self.starts(known, n))]
+        if not found:
+            return []
+        low = min(int(starts[0]) for _, starts in found)
+        total = self.running(words[low : max(int(starts[-1]) + n for n, starts in found)])
+        for n, starts in found:
+            w, item = self.candidates(self.fingerprints(total, starts - low, n), n)
             for i, k in zip(starts[w].tolist(), item.tolist()):
                 x = self.similarity(s[i : i + n - SHINGLE + 1], k)
                 if x * 100 >= self.percent - 1e-9 and (k not in best or x > best[k][0]):
