@@ -8,6 +8,7 @@ the worker hasn't met yet.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ from . import words as W
 #: Fixed value: the public split pattern of this family of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces that a worker remembers; beyond, it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 _SLOTS = 1 << 20
 _CHARS = 1 << 19
 _CONTRACTION = re.compile("'(?:[stmd]|re|ve|ll)")
@@ -48,6 +49,7 @@ def default_path() -> str:
 
 class PieceEncoder:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,10 +62,10 @@ class PieceEncoder:
 
     def forget(self) -> None:
         self.count = 0
-        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)  # of pieces, sorted by hash
-        self.slot_hash, self.slot_at = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int64)
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.uint32)  # of pieces, sorted by hash
+        self.slot_hash, self.slot_at = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.uint32)
         self.pool, self.used = np.empty(1 << 16, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32), 0
-        self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.uint32)
 
     def _starts(self, code: np.ndarray, texts: list[str], at: np.ndarray) -> np.ndarray:
         """Where pieces begin."""
@@ -102,9 +104,9 @@ class PieceEncoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         need, n = self.used + int(sizes.sum()), self.count
         if need > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.empty(need, self.pool.dtype)])
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(need // 4 + need - self.used, self.pool.dtype)])
         if n + len(found) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x[:n], np.empty(n + len(found), np.int64)]) for x in (self.begin, self.size))
+            self.begin, self.size = (np.concatenate([x[:n], np.empty(n // 4 + len(found) + 1024, x.dtype)]) for x in (self.begin, self.size))
         self.pool[self.used : need] = np.concatenate(found)
         self.begin[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(found)] = sizes
@@ -128,7 +130,7 @@ class PieceEncoder:
         if self.count > REMEMBERED:
             self.forget()
         slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
-        piece = self.slot_at[slot]
+        piece = self.slot_at[slot].astype(np.int64)
         miss = np.flatnonzero(self.slot_hash[slot] != h)
         if len(miss):
             u, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
@@ -142,7 +144,7 @@ class PieceEncoder:
             piece[miss] = found[back]
             s = (u & np.uint64(_SLOTS - 1)).astype(np.int64)
             self.slot_hash[s], self.slot_at[s] = u, found
-        n = self.size[piece]
+        n = self.size[piece].astype(np.int64)
         total = np.cumsum(n)
         ids = self.pool[np.repeat(self.begin[piece] - (total - n), n) + np.arange(total[-1])]
         ends = np.searchsorted(starts, at + lens)

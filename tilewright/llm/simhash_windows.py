@@ -212,6 +212,6 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, ra
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     out = spark.createDataFrame([], _FOUND)
     for k, block in enumerate(_blocks(items)):
-        found = texts.mapInArrow(_scan(_Block(block, percent, radius)), _FOUND)
+        found = texts.mapInArrow(W.tidied(_scan(_Block(block, percent, radius))), _FOUND)
         out = found if not k else out.unionByName(found)
     return out
