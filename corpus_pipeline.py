@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import words as W
 from tilewright.llm.compact_windows import repeated_passages
-from tilewright.llm.hyperlang import fit_profiles, held_out, identify
+from tilewright.llm.hyperlang import fit_profiles, held_out, keep_identified
 from tilewright.llm.lp_packing import pack
 from tilewright.llm.minhash_forest import near_duplicates
 from tilewright.llm.scratch import Scratch, keep_ids
@@ -20,8 +20,7 @@ from tilewright.llm.simhash_windows import benchmark_leaks
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; those without text or letters go."""
     model = fit_profiles(docs.where(~held_out()).select("lang", "text"))
-    found = identify(docs, model, *(c for c in docs.columns if c != "doc_id"))
-    return found.where("lang_pred != 'und'").select(*docs.columns)
+    return keep_identified(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
