@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from .bpe import default_path, encoder
 from .scratch import Scratch
 
@@ -103,11 +104,29 @@ def repair(ids: np.ndarray, at: np.ndarray, terminals: int) -> tuple[np.ndarray,
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), np.maximum.accumulate(symbol_at)
 
 
-def expansions(rules: np.ndarray, terminals: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        out.append(np.concatenate([out[x - terminals] if x >= terminals else np.array([x], np.uint32) for x in (a, b)]))
-    return out
+def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, begin, pool): symbol s stands for pool[begin[s] : begin[s] + size[s]]. Rules that refer to no rule among themselves, as those of one round, are expanded at once."""
+    n = len(rules)
+    size, begin = np.ones(terminals + n, np.int64), np.arange(terminals + n)
+    pool, highest, i = np.arange(terminals, dtype=np.uint32), rules.max(axis=1, initial=0) if n else rules, 0
+    while i < n:
+        later = highest[i:] >= terminals + i
+        j = i + int(later.argmax()) if later.any() else n
+        if j == i:
+            raise ValueError("a rule refers to itself or a later one")
+        more, ends = _expand(rules[i:j].reshape(-1).astype(np.int64), size, begin, pool)
+        ends = ends[1::2]
+        begin[terminals + i : terminals + j] = len(pool) + np.append(0, ends[:-1])
+        size[terminals + i : terminals + j] = np.diff(ends, prepend=0)
+        pool, i = np.concatenate([pool, more]), j
+    return size, begin, pool
+
+
+def _expand(symbols: np.ndarray, size: np.ndarray, begin: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the symbols stand for, and where each ends in it."""
+    n = size[symbols]
+    ends = np.cumsum(n)
+    return pool[np.repeat(begin[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 def pack_shard(doc_ids: list[int | None], tokens: list[np.ndarray], terminals: int) -> bytes:
@@ -115,13 +134,11 @@ def pack_shard(doc_ids: list[int | None], tokens: list[np.ndarray], terminals: i
     np.cumsum([len(t) for t in tokens], out=at[1:])
     flat = np.concatenate(tokens) if tokens else np.empty(0, np.uint32)
     seq, rules, symbol_at = repair(flat, at, terminals)
-    size: list[int] = []
-    for a, b in rules.tolist():
-        size.append(sum(size[x - terminals] if x >= terminals else 1 for x in (a, b)))
+    size = expansions(rules, terminals)[0][terminals:]
     wide = 2 if terminals + len(rules) <= 1 << 16 else 4
     head = np.array([terminals, len(rules), len(tokens), len(seq), wide, at[-1] & 0xFFFFFFFF, at[-1] >> 32, 0], "<u4")
     return b"".join(
-        [MAGIC, head.tobytes(), rules.astype("<u4").tobytes(), np.array(size, "<u4").tobytes(), symbol_at.astype("<u8").tobytes(), at.astype("<u8").tobytes(),
+        [MAGIC, head.tobytes(), rules.astype("<u4").tobytes(), size.astype("<u4").tobytes(), symbol_at.astype("<u8").tobytes(), at.astype("<u8").tobytes(),
          np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), seq.astype(f"<u{wide}").tobytes()]
     )
 
@@ -147,18 +164,12 @@ class Shard:
         self.doc_ids, self.null, self.symbols = take("<i8", n), take("u1", n), take(f"<u{wide}", n_symbols)
         if p != len(blob):
             raise ValueError("a token shard has a wrong length")
-        found = expansions(self.rules, self.terminals)
-        if [len(x) for x in found] != sizes.tolist():
+        self.size, self.begin, self.pool = expansions(self.rules, self.terminals)
+        if (self.size[self.terminals :] != sizes).any():
             raise ValueError("a token shard's lengths differ from its rules")
-        self.size = np.concatenate([np.ones(self.terminals, np.int64), sizes.astype(np.int64)])
-        self.begin = np.concatenate([np.arange(self.terminals), self.terminals + np.cumsum(sizes, dtype=np.int64) - sizes])
-        self.pool = np.concatenate([np.arange(self.terminals, dtype=np.uint32), *found])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        s = symbols.astype(np.int64)
-        n = self.size[s]
-        total = np.cumsum(n)
-        return self.pool[np.repeat(self.begin[s] - (total - n), n) + np.arange(total[-1])] if len(s) else np.empty(0, np.uint32)
+        return _expand(symbols.astype(np.int64), self.size, self.begin, self.pool)[0]
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.symbols[self.symbol_at[i] : self.symbol_at[i + 1]])
@@ -219,7 +230,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = ordered.mapInArrow(_write(tokenizer or default_path(), end_id), _SHARDS)
+    shards = ordered.mapInArrow(W.tidied(_write(tokenizer or default_path(), end_id)), _SHARDS)
     shards.write.mode("overwrite").parquet(path)
     return spark.read.schema(_SHARDS).parquet(path)
 
@@ -239,7 +250,8 @@ def read_tokens(shards: DataFrame) -> DataFrame:
             for part, base, blob in zip(*(batch.column(j).to_pylist() for j in range(3))):
                 s = Shard(blob)
                 m = len(s.doc_ids)
-                crc = [zlib.crc32(s.document(i).astype("<u4").tobytes()) for i in range(m)]
+                every = s.expand(s.symbols).astype("<u4", copy=False)
+                crc = [zlib.crc32(every[a:b]) for a, b in zip(s.token_at.tolist(), s.token_at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s.doc_ids.tolist(), pa.int64(), mask=s.null.astype(bool)), pa.array(before[part] + base + s.token_at[:-1]), pa.array(np.diff(s.token_at)), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
