@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from .bpe import default_path, encoder
 from .scratch import Scratch
 
-EPSILON, STEPS, PHASES = 0.15, 160, 4
+EPSILON, STEPS, PHASES = 0.1, 300, 3
 
 
 def knapsack(price: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
@@ -215,7 +216,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.table("pieces", texts.mapInArrow(_cut(tokenizer or default_path(), end_id, capacity), _PIECES))
+    pieces = scratch.table("pieces", texts.mapInArrow(W.tidied(_cut(tokenizer or default_path(), end_id, capacity)), _PIECES))
     by_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = runs(solve(histogram, capacity))
