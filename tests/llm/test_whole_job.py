@@ -82,3 +82,23 @@ def test_smallest_sources_by_brute_force():
         for a, b, s in got:
             back[a:b] = [s] * (b - a)
         assert back == word and all(x[1] < y[0] or (x[1] == y[0] and x[2] != y[2]) for x, y in zip(got, got[1:]))
+
+
+def test_pairs_in_covered_places_are_compared(spark):
+    """Whose b place is covered, but from a later source; whose places are covered, but not to the passage's end."""
+    r = random.Random(33)
+    near = words(r, 5)
+    x, y, p = words(r, 60), words(r, 52), words(r, 75)
+    b = words(r, 40) + x + near + y + words(r, 40)
+    docs = {
+        1: words(r, 30) + x + words(r, 30), 2: words(r, 30) + y + words(r, 30), 3: b,
+        4: words(r, 35) + b[80:180] + words(r, 35), 5: words(r, 35) + y + words(r, 35),
+        11: words(r, 30) + p[:60] + words(r, 30), 12: words(r, 30) + p + words(r, 30), 13: words(r, 35) + p + words(r, 35),
+    }
+    assert found_sources(spark, docs) == brute_sources(docs)
+
+
+def test_edges_without_a_shingle_are_left():
+    runs, firm = [(0, 40, 2), (40, 43, 3), (50, 70, 1)], [(0, 40, 2), (52, 60, 1)]
+    assert compact_windows.without_edges(runs, firm) == [(0, 40, 2), (52, 70, 1)]
+    assert compact_windows.without_edges(runs, []) == [(0, 40, 2), (40, 43, 3), (50, 70, 1)]
