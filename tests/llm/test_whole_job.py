@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from tilewright.llm import compact_windows
+from tilewright.llm import compact_windows, simhash_windows
 
 
 def words(r: random.Random, n: int) -> list[str]:
@@ -102,3 +102,19 @@ def test_edges_without_a_shingle_are_left():
     runs, firm = [(0, 40, 2), (40, 43, 3), (50, 70, 1)], [(0, 40, 2), (52, 60, 1)]
     assert compact_windows.without_edges(runs, firm) == [(0, 40, 2), (52, 70, 1)]
     assert compact_windows.without_edges(runs, []) == [(0, 40, 2), (40, 43, 3), (50, 70, 1)]
+
+
+def leaks(spark, docs: dict[int, list[str]], items: list[tuple[int, list[str]]]) -> dict:
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    return {(x["doc_id"], x["item_id"]): x["similarity"] for x in simhash_windows.benchmark_leaks(table(spark, docs), bench).collect()}
+
+
+def test_edited_copies_of_repeated_items_leak(spark, monkeypatch):
+    r = random.Random(41)
+    item = words(r, 60)
+    copies = [(k, [*item[:59], f"end{k // 5}"]) for k in range(10)]  # two texts, five times each
+    doc = words(r, 20) + [*item[:30], "changed", *item[31:59], "end0"] + words(r, 20)
+    got = leaks(spark, {1: doc, 2: words(r, 100)}, copies)
+    assert {(1, k) for k in range(5)} <= set(got) and {d for d, _ in got} == {1}
+    monkeypatch.setattr(simhash_windows, "BLOCK_ITEMS", 3)
+    assert leaks(spark, {1: doc, 2: words(r, 100)}, copies) == got
