@@ -118,3 +118,11 @@ def test_edited_copies_of_repeated_items_leak(spark, monkeypatch):
     assert {(1, k) for k in range(5)} <= set(got) and {d for d, _ in got} == {1}
     monkeypatch.setattr(simhash_windows, "BLOCK_ITEMS", 3)
     assert leaks(spark, {1: doc, 2: words(r, 100)}, copies) == got
+
+
+def test_documents_shorter_than_the_item_leak(spark):
+    r = random.Random(42)
+    item, other = words(r, 60), words(r, 40)
+    docs = {1: item[:-1], 2: item[1:], 3: item[5:-5], 4: item[:30], 5: item + words(r, 9)}
+    got = leaks(spark, docs, [(1, item), (2, other)])
+    assert {d for d, _ in got} == {1, 2, 3, 5} and abs(got[1, 1] - 55 / 56) < 1e-6

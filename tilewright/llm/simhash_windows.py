@@ -81,6 +81,20 @@ class _Block:
         self.shingles = [W.shingle(w, SHINGLE) for _, w in items]
         self.known = np.unique(np.concatenate([np.empty(0, np.uint64), *self.shingles]))
         self.holders = counts.shingles.of(self.known)
+        # for each known shingle the items that have it, and the weight that they have in it
+        has, weight, owner = [], [], []
+        for i, x in enumerate(self.shingles):
+            u, n = np.unique(x, return_counts=True)
+            at = np.searchsorted(self.known, u)
+            has.append(at)
+            weight.append(n / self.holders[at])
+            owner.append(np.full(len(u), i))
+        has, weight, owner = (np.concatenate(x) if x else np.empty(0) for x in (has, weight, owner))
+        order = np.argsort(has, kind="stable")
+        self.owner, self.share = owner[order].astype(np.int64), weight[order]
+        self.first = np.searchsorted(has[order], np.arange(len(self.known) + 1))
+        self.whole = np.bincount(owner.astype(np.int64), weight, len(items))
+        self.n_words = np.array([len(w) for _, w in items], np.int64)
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self._bits(self.known)] = True
         self.words = np.unique(np.concatenate([np.empty(0, np.uint64), *(w for _, w in items)]))
@@ -158,6 +172,15 @@ class _Block:
         near = np.bitwise_count(prints[w] ^ own[k]) <= self.radius
         return w[near], which[k[near]]
 
+    def longer(self, s: np.ndarray, n_words: int) -> np.ndarray:
+        """Items of more words than a document that it may be most of: of their weight, percent / 100 or more is in shingles that it has."""
+        u = np.unique(s)
+        k = np.minimum(np.searchsorted(self.known, u), len(self.known) - 1)
+        k = k[self.known[k] == u]
+        at = np.concatenate([np.empty(0, np.int64), *(np.arange(a, b) for a, b in zip(self.first[k].tolist(), self.first[k + 1].tolist()))])
+        shared = np.bincount(self.owner[at], self.share[at], len(self.ids))
+        return np.flatnonzero((self.n_words > n_words) & (shared * 100 >= self.percent * self.whole - 1e-9))
+
     def similarity(self, s: np.ndarray, item: int) -> float:
         a, b = Counter(s.tolist()), Counter(self.shingles[item].tolist())
         every = np.array(sorted(a | b), np.uint64)
@@ -175,8 +198,13 @@ class _Block:
         known = np.cumsum(known)
         best: dict[int, tuple] = {}
         found = [(n, starts) for n in self.by_length if len(starts := self.starts(known, n))]
+        # a document shorter than an item is its own window
+        if len(words) < int(self.n_words.max()):
+            for k in self.longer(s, len(words)).tolist():
+                if (x := self.similarity(s, k)) * 100 >= self.percent - 1e-9:
+                    best[k] = x, 0, len(words)
         if not found:
-            return []
+            return self._rows(best)
         low = min(int(starts[0]) for _, starts in found)
         total = self.running(words[low : max(int(starts[-1]) + n for n, starts in found)])
         for n, starts in found:
@@ -185,6 +213,9 @@ class _Block:
                 x = self.similarity(s[i : i + n - SHINGLE + 1], k)
                 if x * 100 >= self.percent - 1e-9 and (k not in best or x > best[k][0]):
                     best[k] = x, i, n
+        return self._rows(best)
+
+    def _rows(self, best: dict[int, tuple]) -> list[tuple]:
         return [(int(self.ids[k]), round(x, 6), i, n) for k, (x, i, n) in sorted(best.items())]
 
 
@@ -237,7 +268,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, ra
     A row for each document and item such that some window of the document, as
     long in words as the item, has weighted similarity of percent / 100 or
     more and a fingerprint within the radius; the most similar window, the
-    first of equals. Items with null id or text or fewer than five words
+    first of equals. A document shorter than the item is compared as a whole. Items with null id or text or fewer than five words
     can't be told from ordinary language and match nothing, as do null texts.
     Repeated rows give repeated results; an empty table gives none. Other
     columns are ignored.
