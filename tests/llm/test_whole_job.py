@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tilewright.llm import compact_windows, simhash_windows
+from tilewright.llm import words as W
 
 
 def words(r: random.Random, n: int) -> list[str]:
@@ -126,3 +128,17 @@ def test_documents_shorter_than_the_item_leak(spark):
     docs = {1: item[:-1], 2: item[1:], 3: item[5:-5], 4: item[:30], 5: item + words(r, 9)}
     got = leaks(spark, docs, [(1, item), (2, other)])
     assert {d for d, _ in got} == {1, 2, 3, 5} and abs(got[1, 1] - 55 / 56) < 1e-6
+
+
+def test_radius_covers_unknown_words_at_an_end():
+    r = random.Random(43)
+    items = [(k, W.hash_words([" ".join(words(r, 40)).encode()])[0]) for k in range(200)]
+    block = simhash_windows._Block(items, 80, simhash_windows.RADIUS)
+    new = np.random.default_rng(43)
+    for i, w in items:
+        for edited in (1, 2, 3):
+            v = w.copy()
+            v[-edited:] = new.integers(0, 1 << 63, edited, dtype=np.uint64)
+            assert block.similarity(W.shingle(v, simhash_windows.SHINGLE), i) >= 0.8
+            _, found = block.candidates(block.fingerprints(block.running(v), np.zeros(1, np.int64), 40), 40)
+            assert i in found.tolist()

@@ -31,7 +31,7 @@ from ..shipping import ship
 from . import words as W
 
 SHINGLE = 5
-RADIUS = 15
+RADIUS = 21
 #: Items, and words in them, that are sent to the executors at once.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 _FILTER_BITS = 22
