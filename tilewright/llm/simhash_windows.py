@@ -77,6 +77,7 @@ class _Block:
     def __init__(self, items: list[tuple[int, np.ndarray]], percent: int, radius: int, counts: _Counts | None = None):
         counts = counts or _Counts([items])
         self.percent, self.radius = percent, radius
+        self.own: dict[int, tuple] = {}  # what similarity needs of the items that it met
         self.ids = np.array([i for i, _ in items], np.int64)
         self.shingles = [W.shingle(w, SHINGLE) for _, w in items]
         self.known = np.unique(np.concatenate([np.empty(0, np.uint64), *self.shingles]))
@@ -182,14 +183,21 @@ class _Block:
         return np.flatnonzero((self.n_words > n_words) & (shared * 100 >= self.percent * self.whole - 1e-9))
 
     def similarity(self, s: np.ndarray, item: int) -> float:
-        a, b = Counter(s.tolist()), Counter(self.shingles[item].tolist())
-        every = np.array(sorted(a | b), np.uint64)
-        k = np.minimum(np.searchsorted(self.known, every), len(self.known) - 1)
-        own = np.array([e in b for e in every.tolist()])
-        mean = float((1 / self.holders[np.searchsorted(self.known, self.shingles[item])]).mean())
-        weight = np.where(own, 1 / self.holders[k], mean)
-        x, y = (np.array([c[e] for e in every.tolist()]) for c in (a, b))
-        return float((weight * np.minimum(x, y)).sum() / (weight * np.maximum(x, y)).sum())
+        if item not in self.own:
+            b = Counter(self.shingles[item].tolist())
+            w = (1 / self.holders[np.searchsorted(self.known, np.array(list(b), np.uint64))]).tolist()
+            total = sum(x * n for x, n in zip(w, b.values()))
+            self.own[item] = {e: (n, x) for (e, n), x in zip(b.items(), w)}, total, total / len(self.shingles[item])
+        own, total, mean = self.own[item]
+        shared = more = others = 0
+        for e, n in Counter(s.tolist()).items():
+            if e in own:
+                m, x = own[e]
+                shared += x * min(n, m)
+                more += x * max(0, n - m)
+            else:
+                others += n
+        return float(shared / (total + more + mean * others))
 
     def search(self, words: np.ndarray, s: np.ndarray, at: np.ndarray) -> list[tuple]:
         """(item, similarity, start, words) of one document: the best window of each item that passes."""
