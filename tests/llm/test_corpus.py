@@ -385,25 +385,38 @@ def test_repeated_passages(spark):
     assert compact_windows.repeated_passages(table(spark, [])).count() == 0
 
 
-def test_a_passage_in_many_documents(spark):
-    r = random.Random(12)
-    passage = words(r, 60)
-    rows = [(i, " ".join(words(r, 30) + passage + words(r, 30))) for i in range(200)]
-    got = {x["doc_id"]: (x["start_word"], x["n_words"], x["source_id"]) for x in compact_windows.repeated_passages(table(spark, rows).repartition(8)).collect()}
-    assert len(got) == 200 and all(v == (30, 60, 0) for v in got.values())
-
-
-def test_windows_joined_across_batches_and_partitions():
-    """Every cut of a sorted run into batches gives the same pairs."""
-    rows = [(k, d, d + k, (7 << 32) | (d % 2 * 5), 0) for k in (1, 2, 3) for d in range(6)]
+def test_cells_joined_across_batches():
+    """Every cut of a sorted run into batches gives the same pairs and live cells."""
+    rows = [(k, d, d + k, (7 << 32) | (d % 2 * 5 + 1), d, 0, 1) for k in (8, 9, 16) for d in range(6)]
     cols = [np.array(c, np.int64) for c in zip(*rows)]
 
-    def pairs(cuts):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in cols], names=["key", "doc", "place", "ctx", "far"]) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
-        out = [x for b in compact_windows._join_windows(iter(batches)) for x in b.to_pylist()]
-        return sorted((x["a"], x["pa"], x["b"], x["pb"]) for x in out if x["side"] == 0)
+    def joined(cuts):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in cols], names=["key", "doc", "place", "ctx", "full", "start", "n"]) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        out = [x for b in compact_windows._join_cells(iter(batches)) for x in b.to_pylist()]
+        return sorted((x["side"], x["a"], x["pa"], x["b"], x["pb"], x["key"], x["ctx"]) for x in out)
 
-    want = pairs([])
-    assert len(want) >= 15
+    want = joined([])
+    assert len([x for x in want if x[0] == 0]) >= 15 and len([x for x in want if x[0] == 1]) == 12
     for cut in range(1, len(rows)):
-        assert pairs([cut]) == want
+        assert joined([cut]) == want
+
+
+def test_cells_are_the_join_of_two_hashes_windows():
+    """Each passage of the least length is in the cell of its two smallest hashes."""
+    r = np.random.default_rng(5)
+    s, n = r.integers(0, 1 << 63, 400, dtype=np.uint64), 400
+    first, last, valid = np.zeros(n, np.int64), np.full(n, n - 1), np.arange(n) <= n - 20
+    one, two = (compact_windows.compact_windows(s, compact_windows._SEEDS[k], np.ones(n, bool), valid, first, last, 20) for k in (0, 1))
+    start, c1, c2 = compact_windows.cells(one, two, 20)
+    for i in range(n - 19):
+        k = int(np.searchsorted(start, i, "right")) - 1
+        want = [i + int(W.mix(s[i : i + 20] ^ compact_windows._SEEDS[j]).argmin()) for j in (0, 1)]
+        assert [c1[k], c2[k]] == want
+
+
+def test_content_hashes_of_spans():
+    s = np.random.default_rng(6).integers(0, 1 << 63, 500, dtype=np.uint64)
+    s[300:350] = s[100:150]
+    for k in (0, 1):
+        h = compact_windows.Spans(s, k).of(np.arange(450), np.arange(450) + 50)
+        assert h[100] == h[300] and len(set(h.tolist())) == 449

@@ -100,10 +100,85 @@ def test_pairs_in_covered_places_are_compared(spark):
     assert found_sources(spark, docs) == brute_sources(docs)
 
 
-def test_edges_without_a_shingle_are_left():
-    runs, firm = [(0, 40, 2), (40, 43, 3), (50, 70, 1)], [(0, 40, 2), (52, 60, 1)]
-    assert compact_windows.without_edges(runs, firm) == [(0, 40, 2), (52, 70, 1)]
-    assert compact_windows.without_edges(runs, []) == [(0, 40, 2), (40, 43, 3), (50, 70, 1)]
+def test_runs_of_repeated_words(spark):
+    """A run of one word and a cycle of three, longer than any one comparison sees."""
+    r = random.Random(34)
+    docs = {1: words(r, 30) + ["same"] * 400 + words(r, 30), 2: words(r, 60) + ["same"] * 400 + words(r, 10), 3: words(r, 20) + ["x", "y", "z"] * 150, 4: ["x", "y", "z"] * 150 + words(r, 90), 5: ["same"] * 90 + words(r, 9)}
+    assert found_sources(spark, docs) == brute_sources(docs)
+
+
+def test_a_passage_in_many_documents(spark):
+    """Some of the holders also share a word beside the passage, by chance."""
+    r = random.Random(12)
+    passage = words(r, 60)
+    beside = [["ab"], ["cd"], []]
+    docs = {i: words(r, 30) + passage + beside[i % 3] + words(r, 30) for i in range(200)}
+    got = found_sources(spark, docs)
+    assert got == brute_sources(docs) and all(x == 0 for w in got.values() for x in w[30:90])
+
+
+def test_a_phrase_in_many_documents_hides_no_passage(spark):
+    """Two of many holders of a phrase of 40 words share 15 more: they must meet, though the phrase's first holder shares less."""
+    r = random.Random(35)
+    phrase, more = words(r, 40), words(r, 15)
+    docs = {k: words(r, 30) + phrase + words(r, 30) for k in range(300)}
+    docs[150], docs[250] = words(r, 22) + phrase + more + words(r, 9), words(r, 40) + phrase + more + words(r, 31)
+    assert found_sources(spark, docs) == brute_sources(docs)
+
+
+def test_no_passage_of_a_table_is_missed(spark, sf):
+    rows = [x for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if x["text"]]
+    docs = {x["doc_id"]: x["text"].encode().lower().split() for x in rows}
+    copies = defaultdict(list)
+    for d, w in docs.items():
+        copies[tuple(w)].append(d)
+    want = brute_sources(docs)
+    got = {d: [-1] * len(w) for d, w in docs.items()}
+    for x in compact_windows.repeated_passages(spark.read.parquet(f"{sf}/documents.parquet")).collect():
+        got[x["doc_id"]][x["start_word"] : x["start_word"] + x["n_words"]] = [x["source_id"]] * x["n_words"]
+    for d, w in docs.items():
+        assert all(g >= 0 for g, x in zip(got[d], want[d]) if x >= 0)
+        if d == min(copies[tuple(w)]):
+            assert all(g <= x for g, x in zip(got[d], want[d]) if x >= 0)
+
+
+def test_most_edited_passages_are_found(spark):
+    """Passages of 60 to 120 words with a similarity just over 0.8."""
+    r = random.Random(36)
+    docs, edits = {}, {}
+    for k in range(150):
+        n = r.randint(60, 120)
+        p = words(r, n)
+        q = list(p)
+        for e in range(1 + n // 100):
+            at = 25 + 45 * e + r.randint(0, 9)
+            q[at] = "edit"
+        s, t = ({tuple(x[i : i + 5]) for i in range(n - 4)} for x in (p, q))
+        assert len(s & t) >= 0.8 * len(s | t)
+        docs[2 * k], docs[2 * k + 1] = words(r, 40) + p + words(r, 40), words(r, 30) + q + words(r, 50)
+        edits[2 * k + 1] = 30 + at
+    got = found_sources(spark, docs)
+    assert sum(got[d][at] == d - 1 for d, at in edits.items()) >= 0.9 * len(edits)
+    assert all(got[d][0] == got[d][-1] == -1 for d in docs)
+
+
+def test_one_id_with_different_texts_is_left_alone(spark):
+    r = random.Random(37)
+    a, b = words(r, 80), words(r, 70)
+    df = spark.createDataFrame([(1, " ".join(a), "k"), (1, " ".join(b), "k"), (2, " ".join(a + words(r, 9)), "k"), (3, " ".join(a), "k"), (3, " ".join(a), "k"), (None, " ".join(a), "k"), (4, None, "k")], "doc_id long, text string, cuts string")
+    got = compact_windows.repeated_passages(df).collect()
+    assert {(x["doc_id"], x["source_id"]) for x in got} == {(2, 2), (3, 2)}
+    left = compact_windows.cut_passages(df)
+    assert left.columns == df.columns and sorted((x["doc_id"] or 0) for x in left.collect()) == [0, 1, 1, 2, 4]
+
+
+def test_rows_are_decontaminated_by_their_own_text(spark):
+    r = random.Random(44)
+    item = words(r, 40)
+    df = spark.createDataFrame([(None, " ".join(item), 1.0), (1, " ".join(words(r, 40)), 2.0), (1, " ".join(words(r, 9) + item), 3.0), (2, None, 4.0), (None, "x", 5.0)], "doc_id long, text string, similarity double")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(x["similarity"] for x in simhash_windows.without_leaks(df, bench).collect()) == [2.0, 4.0, 5.0]
+    assert simhash_windows.without_leaks(df, bench.where("false")).count() == 5
 
 
 def leaks(spark, docs: dict[int, list[str]], items: list[tuple[int, list[str]]]) -> dict:

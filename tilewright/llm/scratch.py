@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-#: Rows of 8-byte ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Rows of 8-byte ids, and bytes of lists, that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_BYTES = 2_000_000, 32 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -53,3 +53,9 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     only when their counted number is small; else both sides are shuffled."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if small else ids, key, how)
+
+
+def keep_lists(df: DataFrame, lists: DataFrame, key: str, column: str) -> DataFrame:
+    """Rows of df joined with lists (unique in key, with an array of small structs). lists are broadcast only when their counted size is small."""
+    n, m = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
+    return df.join(F.broadcast(lists) if 64 * n + 48 * m <= BROADCAST_BYTES else lists, key)

@@ -230,30 +230,44 @@ class _Block:
 _FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
 
+def _rows(block: _Block, texts: list[str | None]) -> Iterator[tuple]:
+    """(place in texts, item, similarity, start, words), by place."""
+    raws = W.encoded(texts)
+    for a, b in W.chunks(raws):
+        words, at = W.hash_words(raws[a:b])
+        s = W.shingle_all(words, SHINGLE)
+        hit = block.hits(s)
+        if not len(hit):
+            continue
+        doc = np.searchsorted(at, hit, "right") - 1
+        inside = hit + SHINGLE <= at[doc + 1]
+        hit, doc = hit[inside], doc[inside]
+        for d in np.unique(doc).tolist():
+            x, y = int(at[d]), int(at[d + 1])
+            for r in block.search(words[x:y], s[x : y - SHINGLE + 1], hit[doc == d] - x):
+                yield (a + d, *r)
+
+
 def _scan(block: _Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            raws = W.encoded(batch.column(1).to_pylist())
-            rows = []
-            for a, b in W.chunks(raws):
-                words, at = W.hash_words(raws[a:b])
-                s = W.shingle_all(words, SHINGLE)
-                hit = block.hits(s)
-                if not len(hit):
-                    continue
-                doc = np.searchsorted(at, hit, "right") - 1
-                inside = hit + SHINGLE <= at[doc + 1]
-                hit, doc = hit[inside], doc[inside]
-                for d in np.unique(doc).tolist():
-                    x, y = int(at[d]), int(at[d + 1])
-                    rows += [(ids[a + d], *r) for r in block.search(words[x:y], s[x : y - SHINGLE + 1], hit[doc == d] - x)]
-            cols = list(zip(*rows)) if rows else [()] * 5
+            cols = list(zip(*((ids[i], *r) for i, *r in _rows(block, batch.column(1).to_pylist())))) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
     return run
 
 
+def _keep(block: _Block, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[i for i, *_ in _rows(block, batch.column(text).to_pylist())]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     block: list[tuple[int, np.ndarray]] = []
     n = 0
@@ -270,6 +284,14 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield block
 
 
+def _prepared(benchmark: DataFrame, percent: int, radius: int) -> Iterator[_Block]:
+    ship(benchmark.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    blocks = list(_blocks(items))
+    counts = _Counts(blocks)
+    return (_Block(block, percent, radius, counts) for block in blocks)
+
+
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, similarity, start_word, n_words).
 
@@ -282,13 +304,16 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, ra
     columns are ignored.
     """
     spark = docs.sparkSession
-    ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     out = spark.createDataFrame([], _FOUND)
-    blocks = list(_blocks(items))
-    counts = _Counts(blocks)
-    for k, block in enumerate(blocks):
-        found = texts.mapInArrow(W.tidied(_scan(_Block(block, percent, radius, counts))), _FOUND)
+    for k, block in enumerate(_prepared(benchmark, percent, radius)):
+        found = texts.mapInArrow(W.tidied(_scan(block)), _FOUND)
         out = found if not k else out.unionByName(found)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, with all their columns, that benchmark_leaks finds nothing in. Each row is judged by its own text, so null and repeated doc_ids make no difference; null texts stay."""
+    for block in _prepared(benchmark, percent, radius):
+        docs = docs.mapInArrow(W.tidied(_keep(block, docs.columns.index("text"))), docs.schema)
+    return docs
