@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tilewright.llm import words as W
-from tilewright.llm.compact_windows import repeated_passages
+from tilewright.llm.compact_windows import cut_passages
 from tilewright.llm.hyperlang import fit_profiles, held_out, keep_identified
 from tilewright.llm.lp_packing import pack
 from tilewright.llm.minhash_forest import near_duplicates
 from tilewright.llm.scratch import Scratch, keep_ids
-from tilewright.llm.simhash_windows import benchmark_leaks
+from tilewright.llm.simhash_windows import without_leaks
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,51 +19,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """The first document of each group of near copies (five-word shingles, similarity 0.8). Rows without doc_id can't be told from others and stay."""
     gone = near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id").distinct()
     return keep_ids(docs, gone, "doc_id", "left_anti")
 
 
-def _without(columns: list[str]):
-    """Texts without the words of the given stretches; texts of which no word is left go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, n_chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
-        for batch in batches:
-            texts, cuts = batch.column(text).to_pylist(), batch.column(len(columns)).to_pylist()
-            new: list[str | None] = []
-            for t, cut in zip(texts, cuts):
-                raw = t.encode("utf-8", "replace")
-                begin, _ = W.spans(raw)
-                begin = [*begin.tolist(), len(raw)]
-                out, at, left = [], 0, len(begin) - 1
-                for c in sorted(cut, key=lambda c: c["start_word"]):
-                    a, b = c["start_word"], c["start_word"] + c["n_words"]
-                    out.append(raw[at : begin[a]])
-                    at, left = begin[b], left - (b - a)
-                new.append(b"".join([*out, raw[at:]]).decode("utf-8", "replace") if left else None)
-            cols = list(batch.columns[: len(columns)])
-            cols[text] = pa.array(new, pa.string())
-            if n_chars is not None:
-                cols[n_chars] = pa.array([None if x is None else len(x) for x in new]).cast(cols[n_chars].type)
-            yield pa.RecordBatch.from_arrays(cols, names=columns).filter(cols[text].is_valid())
-
-    return run
-
-
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has are cut out; the earliest keeps them."""
-    spans = repeated_passages(docs, min_words=50, percent=80).where("source_id != doc_id")
-    cuts = Scratch(spark, "cuts").table("cuts", spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cuts")))
-    whole = keep_ids(docs, cuts.select("doc_id"), "doc_id", "left_anti")
-    touched = keep_ids(docs, cuts, "doc_id", "inner").select(*docs.columns, "__cuts")
-    return whole.unionByName(touched.mapInArrow(_without(docs.columns), docs.schema))
+    return cut_passages(docs, min_words=50, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaks = benchmark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return keep_ids(docs, Scratch(spark, "leaks").table("leaks", leaks), "doc_id", "left_anti")
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
