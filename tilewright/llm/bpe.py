@@ -3,7 +3,8 @@
 A byte-level BPE first splits a text into pieces and then encodes each piece
 by itself, so the ids of a text are those of its pieces in order. Splitting
 is done here on arrays of code points; the library encodes each piece that
-the worker hasn't met yet.
+the worker hasn't met yet. A text with the string of an added token in it is
+encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -155,13 +157,19 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; null is empty."""
         some = [t or "" for t in texts]
+        whole = {}
+        if self.added:
+            for i, t in enumerate(some):
+                if self.added.search(t):
+                    whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.pool.dtype)
+                    some[i] = ""
         a = total = 0
         for i in range(len(some) + 1):
             if i == len(some) or (total and total + len(some[i]) > _CHARS):
                 if i > a:
                     ids, bounds = self._chunk(some[a:i])
                     for j in range(i - a):
-                        yield ids[bounds[j] : bounds[j + 1]]
+                        yield whole[a + j] if a + j in whole else ids[bounds[j] : bounds[j + 1]]
                 a, total = i, 0
             if i < len(some):
                 total += len(some[i])
