@@ -9,7 +9,7 @@ A shard is one binary value:
     symbol_at    documents + 1 uint64: where each document's symbols begin
     token_at     documents + 1 uint64: where each document's ids begin in the shard
     doc_ids      documents int64, then documents uint8: 1 if the id is null
-    symbols      uint16 or uint32
+    symbols      2, 3 or 4 bytes each
 
 Symbols under `terminals` are ids; the others are rules in order. No rule
 spans two documents, so a document is decoded from its own symbols, and the
@@ -33,72 +33,80 @@ from .scratch import Scratch
 
 MAGIC = b"TWR1"
 SHARD_TOKENS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 1536, 12
-_BITS = 18
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Pairs that occur so often are frequent: a rule takes 12 bytes and saves 2 at each place.
+LEAST_COUNT = 8
+_BITS = 20
+_MULS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def _buckets(keys: np.ndarray) -> np.ndarray:
-    x = keys * _MUL
-    x >>= np.uint64(64 - _BITS)
-    return x.view(np.int64)
+def repair(ids: np.ndarray, at: np.ndarray, terminals: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, document offsets into symbols): frequent pairs become nonterminals, in rounds, until no pair of symbols occurs `least` times.
 
-
-def repair(ids: np.ndarray, at: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, document offsets into symbols): pairs that occur LEAST_COUNT times or more become nonterminals, the most frequent first, in ROUNDS rounds.
-
-    Within a round, of two chosen pairs that overlap the more frequent one is
-    replaced (the left one, if they are as frequent).
+    Each round counts the pairs that may be frequent: in the first all, then
+    those beside a new symbol and the frequent ones that are left; others can
+    only have become rarer. Of frequent pairs that overlap the more frequent
+    one is replaced; pairs that lose too many places to others wait.
     """
     seq = ids.astype(np.uint32)
     ends = np.zeros(len(seq), bool)
     ends[(at[1:] - 1)[at[1:] > at[:-1]]] = True
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        pair = seq[:-1].astype(np.uint64)
+    n_rules = rounds = 0
+    held = np.zeros(1 << _BITS, np.uint64)
+    where = np.flatnonzero(~ends[:-1])
+    while len(where):
+        pair = seq[where].astype(np.uint64)
         pair <<= np.uint64(32)
-        pair |= seq[1:]
-        bucket = _buckets(pair)
-        bucket[ends[:-1]] = 1 << _BITS
-        total = np.bincount(bucket, minlength=(1 << _BITS) + 1)
-        total[-1] = 0
-        # a pair is at most as frequent as its bucket: what is left out can't be among the most frequent
-        least = max(LEAST_COUNT, int(np.partition(total, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]))
-        where = np.flatnonzero((total >= least)[bucket])
+        pair |= seq[where + 1]
+        # in a run of one symbol every other pair counts
+        even = np.ones(len(where), bool)
+        again = np.flatnonzero((pair[1:] == pair[:-1]) & (where[1:] == where[:-1] + 1)) + 1
+        if len(again):
+            n = np.arange(len(again))
+            first = np.maximum.accumulate(np.where(np.append(True, again[1:] != again[:-1] + 1), n, 0))
+            even[again[(n - first) % 2 == 0]] = False
+        if len(pair) > 1 << 14:
+            # counted by hash bucket: one pair of each bucket now, others that may be frequent wait for another hash
+            b = (pair * _MULS[rounds % 3] >> np.uint64(64 - _BITS)).view(np.int64)
+            every = np.bincount(b[even], minlength=1 << _BITS)
+            some = (every >= least)[b]
+            where, pair, b, even = where[some], pair[some], b[some], even[some]
+            held[b] = pair
+            hit = held[b] == pair
+            counts = np.bincount(b[hit & even], minlength=1 << _BITS)
+            wait = where[~hit & (every - counts >= least)[b]]
+            some = hit & (counts >= least)[b]
+            keys = held
+        else:
+            keys, b = np.unique(pair, return_inverse=True)
+            counts = np.bincount(b[even], minlength=len(keys))
+            wait, some = where[:0], (counts >= least)[b]
+        rounds += 1
+        where, b, even = where[some], b[some], even[some]
         if not len(where):
-            break
-        keys, counts = np.unique(pair[where], return_counts=True)
-        best = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(best):
-            break
-        if len(best) > RULES_A_ROUND:
-            best = np.sort(best[np.lexsort((keys[best], -counts[best]))[:RULES_A_ROUND]])
-        keys, counts = keys[best], counts[best]
-        own = _buckets(keys)
-        table = np.full((1 << _BITS) + 1, -1, np.int32)
-        by_count = np.argsort(counts, kind="stable")
-        table[own[by_count]] = by_count  # of pairs in one bucket, the most frequent; the others wait for a later round
-        found = table[bucket]
-        where = np.flatnonzero(found >= 0)
-        rule = found[where]
-        hit = keys[rule] == pair[where]
-        where, rule = where[hit], rule[hit]
-        weight = counts[rule]
-        touch = where[1:] == where[:-1] + 1
-        keep = np.ones(len(where), bool)
-        keep[1:] &= ~touch | (weight[1:] > weight[:-1])
-        keep[:-1] &= ~touch | (weight[:-1] >= weight[1:])
-        where, rule = where[keep], rule[keep]
-        rules.append(np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        seq[where] = (terminals + n_rules + rule).astype(np.uint32)
-        ends[where] = ends[where + 1]
-        left = np.ones(len(seq), bool)
-        left[where + 1] = False
-        seq, ends = seq[left], ends[left]
-        n_rules += len(keys)
+            where = wait
+            continue
+        weight = np.where(even, counts[b] << np.int64(_BITS + 1) | b, -1)
+        beside = where[1:] == where[:-1] + 1
+        keep = even.copy()
+        keep[1:] &= ~beside | (weight[1:] > weight[:-1])
+        keep[:-1] &= ~beside | (weight[:-1] > weight[1:])
+        win = np.bincount(b[keep], minlength=len(counts)) >= least
+        keep &= win[b]
+        chosen, put = np.flatnonzero(win), where[keep]
+        number = np.zeros(len(counts), np.uint32)
+        number[chosen] = np.arange(terminals + n_rules, terminals + n_rules + len(chosen), dtype=np.uint32)
+        rules.append(np.stack([keys[chosen] >> np.uint64(32), keys[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        n_rules += len(chosen)
+        seq[put] = number[b[keep]]
+        ends[put] = ends[put + 1]
+        left, may = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+        left[put + 1] = False
+        may[where] = may[wait] = True
+        before = put[put > 0] - 1
+        may[before - ~left[before]] = True
+        may &= left & ~ends
+        seq, ends, where = seq[left], ends[left], np.flatnonzero(may[left])
     symbol_at = np.zeros(len(at), np.int64)
     symbol_at[1:][at[1:] > at[:-1]] = np.flatnonzero(ends) + 1
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), np.maximum.accumulate(symbol_at)
@@ -135,11 +143,11 @@ def pack_shard(doc_ids: list[int | None], tokens: list[np.ndarray], terminals: i
     flat = np.concatenate(tokens) if tokens else np.empty(0, np.uint32)
     seq, rules, symbol_at = repair(flat, at, terminals)
     size = expansions(rules, terminals)[0][terminals:]
-    wide = 2 if terminals + len(rules) <= 1 << 16 else 4
+    wide = next(k for k in (2, 3, 4) if terminals + len(rules) <= 1 << 8 * k)
     head = np.array([terminals, len(rules), len(tokens), len(seq), wide, at[-1] & 0xFFFFFFFF, at[-1] >> 32, 0], "<u4")
     return b"".join(
         [MAGIC, head.tobytes(), rules.astype("<u4").tobytes(), size.astype("<u4").tobytes(), symbol_at.astype("<u8").tobytes(), at.astype("<u8").tobytes(),
-         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), seq.astype(f"<u{wide}").tobytes()]
+         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()]
     )
 
 
@@ -161,7 +169,10 @@ class Shard:
         self.rules = take("<u4", 2 * n_rules).reshape(-1, 2)
         sizes = take("<u4", n_rules)
         self.symbol_at, self.token_at = take("<u8", n + 1).astype(np.int64), take("<u8", n + 1).astype(np.int64)
-        self.doc_ids, self.null, self.symbols = take("<i8", n), take("u1", n), take(f"<u{wide}", n_symbols)
+        self.doc_ids, self.null = take("<i8", n), take("u1", n)
+        symbols = np.zeros((n_symbols, 4), np.uint8)
+        symbols[:, :wide] = take("u1", n_symbols * wide).reshape(-1, wide)
+        self.symbols = symbols.view("<u4").reshape(-1)
         if p != len(blob):
             raise ValueError("a token shard has a wrong length")
         self.size, self.begin, self.pool = expansions(self.rules, self.terminals)
