@@ -259,12 +259,19 @@ def test_media_query_columns(spark):
 ODD_TEXTS = ["don't you'LL  'tis", "\n\n\n x  \t y z' 's 12ab3   ", "　é 😀<|endoftext|> \n", "   ", "\n a", None, "", "a" * 3000, "word " * 5000, "日本語 テキスト", "x\r\n\r\ny  "]
 
 
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_path())
+
+
 def test_pieces_are_the_tokenizers_ids():
-    e = bpe.PieceEncoder(bpe.default_path())
+    e, tok = bpe.PieceEncoder(bpe.default_path()), plain_tokenizer()
     r = random.Random(0)
-    texts = ODD_TEXTS + ["".join(r.choice(" \n\t'abçs1.!\xa0") for _ in range(60)) for _ in range(300)]
+    texts = ODD_TEXTS + ["".join(r.choice(" \n\t'abçs1.!\xa0") for _ in range(60)) for _ in range(300)] + ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x  <|endoftext", "<|im_end|>"]
     for got, t in zip(e.encode(texts), texts):
-        assert got.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert got.tolist() == tok.encode(t or "", add_special_tokens=False).ids
+    assert next(e.encode(["a <|endoftext|> b"])).tolist() == [64, 220, 50256, 275]
 
 
 def test_repair_round_trip():
@@ -281,8 +288,35 @@ def test_repair_round_trip():
         repair_tokens.Shard(b"none")
 
 
+@pytest.mark.parametrize("least", [2, 8])
+def test_no_frequent_pair_is_left(least):
+    """Over a shard like a real one, with copies, a run of one id, and enough rules for symbols of three bytes."""
+    r = np.random.default_rng(1)
+    tokens = [np.minimum(r.zipf(1.3, n), 50_000).astype(np.uint32) for n in r.integers(1, 900, 300)]
+    tokens += [tokens[k] for k in (3, 5, 5, 5)] * 4 + [np.full(5000, 7, np.uint32)] + [np.array([5, 6] * 2000, np.uint32)]
+    at = np.cumsum([0, *map(len, tokens)])
+    seq, rules, symbol_at = repair_tokens.repair(np.concatenate(tokens), at, 50_257, least)
+    size, begin, pool = repair_tokens.expansions(rules, 50_257)
+    assert (repair_tokens._expand(seq.astype(np.int64), size, begin, pool)[0] == np.concatenate(tokens)).all()
+    count, last = defaultdict(int), {}
+    for a, b in zip(symbol_at.tolist(), symbol_at[1:].tolist()):
+        own = seq[a:b].tolist()
+        for i, p in enumerate(zip(own, own[1:])):
+            if last.get(p) == (a, i - 1) and p[0] == p[1]:
+                continue
+            count[p] += 1
+            last[p] = (a, i)
+    assert max(count.values()) < least
+    used = defaultdict(int)
+    for x in (*seq.tolist(), *rules.reshape(-1).tolist()):
+        used[x] += 1
+    assert len(rules) and all(used[50_257 + k] >= 1 for k in range(len(rules)))
+    blob = repair_tokens.pack_shard(list(range(len(tokens))), tokens, 50_257)
+    assert (repair_tokens.Shard(blob).document(7) == tokens[7]).all() and len(blob) < 2 * len(np.concatenate(tokens))
+
+
 def ids_of(texts: dict, end: int) -> dict:
-    tok = bpe.encoder(bpe.default_path()).tokenizer
+    tok = plain_tokenizer()
     return {k: [*tok.encode(t or "", add_special_tokens=False).ids, end] for k, t in texts.items()}
 
 
@@ -359,8 +393,8 @@ def test_centres_and_extents_by_brute_force():
     at, value = compact_windows.centres(v, valid, 20)
     low = {a + int(v[a : a + 20].argmin()) for a in range(281)}
     assert set(at.tolist()) == low
-    left, right = compact_windows.tree_extents(at.tolist(), value.tolist(), [0] * len(at), [299] * len(at))
-    for c, a, b in zip(at.tolist(), left, right):
+    left, right = compact_windows.tree_extents(at, value, np.zeros(len(at), int), np.full(len(at), 299))
+    for c, a, b in zip(at.tolist(), left.tolist(), right.tolist()):
         assert a == max([k + 1 for k in range(c) if v[k] < v[c]], default=0) and b == min([k - 1 for k in range(c + 1, 300) if v[k] < v[c]], default=299)
 
 
@@ -387,11 +421,11 @@ def test_repeated_passages(spark):
 
 def test_cells_joined_across_batches():
     """Every cut of a sorted run into batches gives the same pairs and live cells."""
-    rows = [(k, d, d + k, (7 << 32) | (d % 2 * 5 + 1), d, 0, 1) for k in (8, 9, 16) for d in range(6)]
+    rows = [(k, d, d + k << 32 | 1, (7 << 40) | (d % 2 * 5 + 1) << 16 | d) for k in (8, 9, 16) for d in range(6)]
     cols = [np.array(c, np.int64) for c in zip(*rows)]
 
     def joined(cuts):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in cols], names=["key", "doc", "place", "ctx", "full", "start", "n"]) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in cols], names=["key", "doc", "spot", "ctx"]) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
         out = [x for b in compact_windows._join_cells(iter(batches)) for x in b.to_pylist()]
         return sorted((x["side"], x["a"], x["pa"], x["b"], x["pb"], x["key"], x["ctx"]) for x in out)
 
@@ -406,11 +440,15 @@ def test_cells_are_the_join_of_two_hashes_windows():
     r = np.random.default_rng(5)
     s, n = r.integers(0, 1 << 63, 400, dtype=np.uint64), 400
     first, last, valid = np.zeros(n, np.int64), np.full(n, n - 1), np.arange(n) <= n - 20
-    one, two = (compact_windows.compact_windows(s, compact_windows._SEEDS[k], np.ones(n, bool), valid, first, last, 20) for k in (0, 1))
-    start, c1, c2 = compact_windows.cells(one, two, 20)
+    one, two = (compact_windows.compact_windows(s, k, np.ones(n, bool), valid, first, last, 20) for k in (0, 1))
+    start, count, c1, c2 = compact_windows.cells(one, two, 20)
+    assert (start + count)[:-1].tolist() == start[1:].tolist() and start[-1] + count[-1] == n - 19
+    for c, l, r in zip(*one):
+        v = (s ^ compact_windows._SEEDS[0]) * (compact_windows._SEEDS[-1] | np.uint64(1))
+        assert v[l : r + 1].argmin() == c - l and (l == 0 or v[l - 1] < v[c]) and (r == n - 1 or v[r + 1] < v[c])
     for i in range(n - 19):
         k = int(np.searchsorted(start, i, "right")) - 1
-        want = [i + int(W.mix(s[i : i + 20] ^ compact_windows._SEEDS[j]).argmin()) for j in (0, 1)]
+        want = [i + int(((s[i : i + 20] ^ compact_windows._SEEDS[j]) * (compact_windows._SEEDS[-1 - j] | np.uint64(1))).argmin()) for j in (0, 1)]
         assert [c1[k], c2[k]] == want
 
 
