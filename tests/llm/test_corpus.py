@@ -435,6 +435,30 @@ def test_cells_joined_across_batches():
         assert joined([cut]) == want
 
 
+def test_first_holders_across_partitions_and_batches():
+    """Sorted rows, cut into partitions and batches in every way, give each passage of several documents the first of them."""
+    r = random.Random(7)
+    rows = sorted((h, h % 2, r.randrange(4), k) for h in range(6) for k in range(r.randint(1, 5)))
+    docs = defaultdict(set)
+    for h1, h2, d, _ in rows:
+        docs[h1, h2].add(d)
+    want = sorted((d, k, min(docs[h1, h2])) for h1, h2, d, k in rows if len(docs[h1, h2]) > 1)
+    cuts = [(p, q) for p in range(len(rows) + 1) for q in range(p, len(rows) + 1)]
+    for p, q in cuts:
+        found = []
+        for part in (rows[:p], rows[p:q], rows[q:]):
+            middle = len(part) // 2
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*b)], names=["h1", "h2", "doc", "place"]) for b in (part[:middle], part[middle:]) if b]
+            found += [x for b in compact_windows._first_holders(iter(batches)) for x in b.to_pylist()]
+        ends = defaultdict(list)
+        for x in found:
+            if x["kind"] == 2:
+                ends[x["h1"], x["h2"]] += [x["doc"], x["source"]]
+        got = [(x["doc"], x["place"], x["source"]) for x in found if x["kind"] == 0]
+        got += [(x["doc"], x["place"], min(e)) for x in found if x["kind"] == 1 and min(e := ends[x["h1"], x["h2"]]) < max(e)]
+        assert sorted(got) == want
+
+
 def test_cells_are_the_join_of_two_hashes_windows():
     """Each passage of the least length is in the cell of its two smallest hashes."""
     r = np.random.default_rng(5)
