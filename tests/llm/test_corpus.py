@@ -97,6 +97,31 @@ def test_near_duplicates(spark):
     assert [rows[len(texts) - k]["n_shingles"] for k in (7, 6, 5, 4, 1)] == [0, 0, 0, 1, 1]
 
 
+def test_near_duplicates_in_a_crowd_by_brute_force(spark):
+    """Hundreds of pages of a template, a little less alike than the threshold, with some pairs above it."""
+    r = random.Random(6)
+    template = words(r, 175, "abcdefghijklmnop")
+    pages = {i: template + words(r, 27, "abcdefghijklmnop") for i in range(500)}
+    for k in range(40):
+        pages[500 + k] = template + pages[r.randrange(500)][175 : 175 + r.randint(4, 9)] + words(r, 20, "abcdefghijklmnop")
+    texts = {i: " ".join(w) for i, w in pages.items()}
+    want = brute_components(texts, 2, 80)
+    assert 10 < sum(c != i for i, c in want.items()) < 60
+    got = {x["doc_id"]: x["component_id"] for x in minhash_forest.near_duplicates(table(spark, list(texts.items())), 2, 80).collect()}
+    assert got == want
+
+
+def test_alike_sets_share_one_of_their_rarest():
+    r = random.Random(8)
+    for _ in range(300):
+        n, m = r.randint(1, 40), r.randint(1, 40)
+        few, most = min(minhash_forest.rarest(min(n, m), 80)[0], min(n, m)), minhash_forest.rarest(max(n, m), 80)[1]
+        # the larger and the smaller share all but their rarest, as badly as can be
+        common = -(-80 * (n + m) // 180)
+        if common <= min(n, m):
+            assert few + common > min(n, m) and most + common > max(n, m)
+
+
 def test_near_duplicates_of_nothing_and_repeats(spark):
     assert minhash_forest.near_duplicates(table(spark, []), 5).count() == 0
     got = minhash_forest.near_duplicates(table(spark, [(3, "a b c"), (3, "a b c"), (None, "a b c"), (5, "A b C")]), 2).collect()
