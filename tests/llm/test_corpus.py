@@ -408,6 +408,16 @@ def test_plans_use_every_length_and_fill_well():
                 used[l] += n * times
         assert used == hist
         assert sum(t for _, t in plan) <= lower_bound(hist, 100) * 1.035 + 2
+        assert plan.sequences >= plan.bound >= lower_bound(hist, 100) * 0.97
+
+
+def test_the_program_packs_better_than_the_greedy_rule():
+    """Lengths of a third to a half of a sequence, where what fits together matters; the bound is the program's dual."""
+    r = random.Random(5)
+    hist = {l: r.randint(50, 400) for l in r.sample(range(600, 1100), 120)}
+    plan, plain = lp_packing.solve(hist, 2048), lp_packing._solve(hist, 2048, 0)
+    assert plan.bound <= plan.sequences <= plain.sequences and plan.from_program > plan.sequences / 2
+    assert plan.sequences <= 1.03 * plan.bound
 
 
 def test_centres_and_extents_by_brute_force():

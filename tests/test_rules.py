@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import keys as K
 from tilewright.functions.distributions import chi2_sf, f_sf
-from tilewright.operators import audit, bootstrap, ledger, matching, metrics, models, neighbours, preparation, ranking, selection, splitting, tiles
+from tilewright.operators import audit, bootstrap, flow, ledger, matching, metrics, models, neighbours, preparation, ranking, selection, splitting, tiles
 from tilewright.operators.matching import ContractError
-from tilewright.sources import images, tables
+from tilewright.sources import images, reports, tables
 
 
 def one(spark, value, f, kind="string"):
@@ -68,8 +68,10 @@ def test_image_files(spark, tmp_path):
     png(tmp_path / "A.PNG", 64, 32)
     png(tmp_path / "odd.png", 40, 32)
     (tmp_path / "bad.png").write_bytes(b"no image")
+    (tmp_path / "notes.txt").write_bytes(b"no image either")
     got = {r["file_name"]: r for r in images.extract(spark, str(tmp_path), 32, 3, "c").collect()}
     assert len(got["A.PNG"]["features"]) == 50 and got["A.PNG"]["issue"] is None and got["A.PNG"]["source_group"] == "a"
+    assert set(got) == {"A.PNG", "odd.png", "bad.png"} and images.list_images(spark, str(tmp_path)).columns == ["path", "length"]
     assert got["bad.png"]["issue"] == "unreadable image" and "divide" in got["odd.png"]["issue"]
     assert images.file_hashes(spark, str(tmp_path)).count() == 3
 
@@ -187,6 +189,18 @@ def test_tables(spark, tmp_path):
         tables.load_part(spark, p, "All", "clean", "Test")
     tables.replace_atomically(df.where("v = 1"), f"{tmp_path}/t.parquet")
     assert spark.read.parquet(f"{tmp_path}/t.parquet").count() == 1
+    tables.replace_atomically(df.where("v = 2"), f"{tmp_path}/t.csv.gz")
+    assert [r["n"] for r in tables.read_table(spark, f"{tmp_path}/t.csv.gz").collect()] == ["b"]
+
+    def refuse(new):
+        raise ContractError(f"{new.count()} rows")
+
+    with pytest.raises(ContractError, match="2 rows"):
+        tables.replace_atomically(df, f"{tmp_path}/t.csv.gz", refuse)
+    assert tables.read_table(spark, f"{tmp_path}/t.csv.gz").count() == 1
+    assert not [p for p in tmp_path.iterdir() if ".new-" in p.name or ".old-" in p.name]
+    tables.write_table(df.repartition(2), f"{tmp_path}/ordered.csv", "v")
+    assert [r["v"] for r in tables.read_table(spark, f"{tmp_path}/ordered.csv").collect()] == ["1", "2"]
     tables.claim_lock(spark, f"{tmp_path}/lock")
     with pytest.raises(ContractError):
         tables.claim_lock(spark, f"{tmp_path}/lock")
@@ -215,3 +229,196 @@ def test_kernel_machine_and_net_learn_circles():
 def test_audit_of_nothing(spark):
     long = spark.createDataFrame([], "scenario string, row_id int, feature string, raw string, split string")
     assert audit.audit_features(long).count() == audit.audit_outliers(long).count() == audit.audit_examples(long).count() == 0
+
+
+@pytest.mark.parametrize(("a", "b", "column", "same"), [("1", "1.9", "label", True), ("-1.5", "-1", "label", True), ("x", "X ", "label", False), ("1.2", "1.9", "ClassName", False), ("Lung ", "lung", "ClassName", True), (None, "", "label", True)])
+def test_tolerant_equality(spark, a, b, column, same):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(K.tolerant_equal(F.col("a"), F.col("b"), column)).first()[0] is same
+
+
+def test_mismatches_of_other_columns_than_the_label(spark):
+    t = spark.createDataFrame([(1, "a.png", "1.2", "1.2"), (2, "b.png", "x", "1")], "row_id int, FileName string, size string, label string")
+    r = spark.createDataFrame([("a.png", "1.9", "1.9"), ("b.png", "X", "1.0")], "FileName string, size string, label string")
+    assert [x["row_id"] for x in matching.mismatches(t, r, "FileName", "FileName", "size", "row_id").collect()] == [1]
+    assert matching.mismatches(t, r, "FileName", "FileName", "label", "row_id").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 101, 3000])
+def test_quantiles_by_brute_force(spark, n, monkeypatch):
+    from tilewright.operators import quantiles as Q
+
+    r = np.random.default_rng(n)
+    values = np.where(r.random(n) < 0.3, 7.0, r.normal(size=n) * 10.0 ** r.integers(0, 6, n))
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("a", None), ("none", None)], "g string, v double")
+    want = np.quantile(values, [0.0, 0.25, 0.5, 0.75, 1.0])
+    for small in (10**9, 2500):
+        monkeypatch.setattr(Q, "SMALL", small)
+        got = Q.quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 0.75, 1.0]).collect()
+        assert len(got) == 1 and np.allclose(got[0]["q"], want, rtol=1e-12)
+
+
+def test_neighbours_without_the_query_itself(spark):
+    rows = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(10)] + [(20, [5.0, 5.0], 1)], "id long, features array<double>, label int")
+    near = neighbours.nearest(rows, rows.where("id in (9, 20)").select("id", "features"), 5, itself=False).collect()
+    assert sorted(x["id"] for x in near if x["query"] == 9) == [0, 1, 2, 3, 4] and all(x["id"] != x["query"] for x in near)
+
+
+def test_neighbours_by_brute_force(spark):
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(400, 5)), 1)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, features array<double>, label int").repartition(3)
+    got = {}
+    for y in neighbours.nearest(rows, rows.where("id < 40").select("id", "features"), 7).collect():
+        got.setdefault(y["query"], []).append((y["rank"], y["id"]))
+    for q in range(40):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        assert [i for _, i in sorted(got[q])] == sorted(range(400), key=lambda i: (d[i], i))[:7]
+
+
+def test_groups_with_a_long_common_beginning_are_numbered_in_order(spark):
+    import hashlib
+
+    names = [f"a common beginning of groups {i}" for i in range(50)]
+    rows = spark.createDataFrame([(n,) for n in names], "g string")
+    got = {r["g"]: r["i"] for r in bootstrap._numbered(rows, "g").collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names, key=lambda n: hashlib.md5(n.encode()).hexdigest()))}
+
+
+def test_bootstrap_of_rows_and_areas(spark):
+    r = np.random.default_rng(4)
+    truth = r.integers(0, 2, 60)
+    score = truth * 0.5 + r.normal(size=60)
+    rows = spark.createDataFrame([(i, int(t), int(s > 0.3), [float(-s), float(s)]) for i, (t, s) in enumerate(zip(truth, score))], "row_id int, t int, p int, s array<double>")
+    rows = bootstrap.with_row_groups(rows, "row_id")
+    draws = bootstrap.numpy_draws(rows, "group", 20)
+    got = {x["draw"]: x for x in bootstrap.distribution(rows, "t", "p", "group", draws, "s", [0, 1]).collect()}
+    names, g = sorted(map(str, range(60))), np.random.default_rng(bootstrap.SEED)
+    for d in range(20):
+        at = np.array([int(names[i]) for i in g.choice(60, 60, replace=True)])
+        pos, neg = score[at][truth[at] == 1], score[at][truth[at] == 0]
+        area = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+        assert got[d]["macro_auc"] == pytest.approx(area) and got[d]["accuracy"] == pytest.approx(((score[at] > 0.3) == truth[at]).mean())
+
+
+def test_every_preset_can_be_fitted(spark):
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(40, 3)) + 2 * np.array(c) for c in ((1, 0, 0), (0, 1, 0), (0, 0, 1))])
+    rows = spark.createDataFrame([(i, v.tolist(), "abc"[i // 40]) for i, v in enumerate(x)], "row_id int, features array<double>, label string")
+    fits = {"forest": models.fit_forest, "tree": models.fit_tree, "logistic": models.fit_logistic, "sgd": models.fit_sgd}
+    for name, fit in fits.items():
+        for params in ([*models.TUNING[name]] if name != "forest" else [p | {"trees": 20} for p in models.TUNING[name]]):
+            got = models.predict(fit(rows, **params), rows).where("label = predicted").count()
+            assert got > 80
+    assert set(models.TUNING) == set(models.SCREENING) == set(models.VARIANT)
+
+
+def test_modified_huber_is_at_its_optimum(spark):
+    r = np.random.default_rng(8)
+    x, y = r.normal(size=(200, 4)), r.integers(0, 3, 200)
+    rows = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y)], "features array<double>, label int")
+    m = models.fit_sgd(rows, 1e-2, "modified_huber", balanced=False)
+    one = np.column_stack([x, np.ones(200)])
+    for k, w in enumerate(m.w):
+        sign = np.where(y == k, 1.0, -1.0)
+        z = sign * (one @ w)
+        slope = np.where(z >= -1, -2 * np.maximum(0, 1 - z), -4.0) * sign
+        grad = (slope[:, None] * one).mean(axis=0) + 1e-2 * np.append(w[:-1], 0)
+        assert np.abs(grad).max() < 1e-3
+
+
+def test_report_order_and_tuned_rows(spark):
+    rows = spark.createDataFrame([("Five_Class", 1), ("Binary", 2), ("Three_Class", 3), ("Other", 4)], "scenario string, x int")
+    assert [x["x"] for x in selection.in_scenario_order(rows).collect()] == [2, 3, 1]
+    with pytest.raises(ContractError):
+        selection.in_scenario_order(rows.where("x != 2"))
+    led = spark.createDataFrame([("Screening", "Completed"), (" Tuning", "Failed")], "stage string, status string")
+    with pytest.raises(ContractError):
+        ledger.tuned(led)
+
+
+def test_preparation_from_raw_text(spark):
+    raw = ["1", None, " ", "x", "inf", "-inf", "-3", "9"]
+    long = spark.createDataFrame([("s", i, f, p, v, "Train") for p, f in enumerate(("gap", "Cronbach_1")) for i, v in enumerate(raw)], "scenario string, row_id int, feature string, pos int, raw string, split string")
+    c = preparation.coerce(long)
+    got = {(x["feature"], x["row_id"]): (x["value"], x["became_null"]) for x in c.collect()}
+    assert [got["gap", i][1] for i in range(8)] == [None, None, None, "non_numeric", "positive_inf", "negative_inf", "invalid_negative", None]
+    assert got["Cronbach_1", 6] == (-3.0, None) and got["gap", 6][0] is None
+    assert preparation.coercion_counts(c).first().asDict() == {"scenario": "s", "split": "Train", "non_numeric": 2, "positive_inf": 2, "negative_inf": 2, "invalid_negative": 1}
+    p = {x["feature"]: x for x in preparation.fit(c).collect()}
+    assert (p["gap"]["median"], p["gap"]["missing"], p["gap"]["q1"], p["gap"]["q3"]) == (5.0, 6, 5.0, 5.0)
+
+
+def test_screening_then_tuning(spark):
+    r = np.random.default_rng(9)
+    rows, labels = [], []
+    for i in range(90):
+        y = i % 2
+        labels.append((i, y))
+        for p, f in enumerate(("a", "b", "c")):
+            v = float(r.normal() + (2.5 * y if p < 2 else 0))
+            rows.append(("s", i, f, p, v, "Train" if i < 60 else "Validation" if i < 80 else "Test"))
+    long = spark.createDataFrame(rows, "scenario string, row_id long, feature string, pos int, value double, split string")
+    prepared = preparation.transform(long, preparation.frozen(preparation.fit(long))).cache()
+    labels = spark.createDataFrame(labels, "row_id long, label int")
+    lists = spark.createDataFrame([("s", "m", 2, 1, "a"), ("s", "m", 2, 2, "b"), ("s", "AllMsr", 3, 1, "a"), ("s", "AllMsr", 3, 2, "b"), ("s", "AllMsr", 3, 3, "c")], "scenario string, method string, k int, rank int, feature string")
+    names = ["gnb", "knn", "tree"]
+    with pytest.raises(ContractError, match="screening"):
+        flow.run_stage("Tuning", prepared, labels, lists, flow.run_stage("Screening", prepared, labels, lists, None, "s", ["gnb"]), "s", names)
+    led = flow.run_stage("Screening", prepared, labels, lists, None, "s", names).cache()
+    got = led.collect()
+    assert len(got) == 6 and {x["status"] for x in got} == {"Completed"} and min(x["accuracy"] for x in got) > 0.75
+    again = flow.run_stage("Screening", prepared, labels, lists, led, "s", names)
+    assert sorted(x["at"] for x in again.collect()) == sorted(x["at"] for x in got)
+    tuned = flow.run_stage("Tuning", prepared, labels, lists, led, "s", ["gnb", "tree"], top=1)
+    best = ledger.best(ledger.tuned(tuned), ["scenario", "model"]).collect()
+    assert tuned.where("stage = 'Tuning'").count() == 8 and {x["model"] for x in best} == {"gnb", "tree"}
+    with pytest.raises(ContractError):
+        flow.answer(prepared, labels, ["a", "nowhere"], "gnb", models.SCREENING["gnb"])
+
+
+@pytest.mark.parametrize("model", ["svm_rbf", "svm_poly", "logistic", "sgd", "vote"])
+def test_other_models_of_the_flow(spark, model, monkeypatch):
+    r = np.random.default_rng(10)
+    rows = [("s", i, f, p, float(r.normal() + 3 * (i % 2) * (p == 0)), "Train" if i < 40 else "Validation") for i in range(60) for p, f in enumerate("ab")]
+    long = spark.createDataFrame(rows, "scenario string, row_id long, feature string, pos int, value double, split string")
+    prepared = preparation.transform(long, preparation.frozen(preparation.fit(long)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "row_id long, label int")
+    vote = models.vote
+    monkeypatch.setattr(models, "vote", lambda *a: vote(*a, trees=10))
+    got = flow.answer(prepared, labels, ["a", "b"], model, models.SCREENING[model]).collect()
+    assert sorted(x["row_id"] for x in got) == list(range(40, 60)) and sum(x["label"] == x["predicted"] for x in got) >= 16
+
+
+def test_reports_and_saved_models(spark, tmp_path):
+    h = spark.createDataFrame([("s", e, 1.0 / e, abs(e - 3) + 0.5) for e in range(1, 6)], "scenario string, epoch int, loss double, val_loss double")
+    assert [x["epoch"] for x in reports.loss_curves(h, ["scenario"]).where("best").collect()] == [3]
+    with pytest.raises(ContractError):
+        reports.loss_curves(h.withColumn("loss", F.lit(float("nan"))), ["scenario"])
+    cells = {(x["truth"], x["predicted"]): x for x in reports.confusion_cells(spark.createDataFrame([("a", "a", 3), ("a", "b", 1), ("b", "a", 0), ("b", "b", 0)], "truth string, predicted string, n long")).collect()}
+    assert cells["a", "a"]["percent"] == 75 and cells["a", "a"]["dark_count"] and not cells["a", "b"]["dark_percent"] and cells["b", "b"]["percent"] == 0
+    reports.write_report(spark, f"{tmp_path}/report", {"curves": h}, {"seed": 1})
+    assert tables.read_table(spark, f"{tmp_path}/report/curves.csv").count() == 5 and tables.read_json(spark, f"{tmp_path}/report/settings.json") == {"seed": 1}
+    r = np.random.default_rng(0)
+    x, y = r.normal(size=(60, 3)), np.array(["u", "v", "w"])[r.integers(0, 3, 60)]
+    for name, m in (("k", models.KernelMachine(x, y, "poly", 1.0, 2, 1.0)), ("n", models.DenseNet(x, y, x, y, epochs=3))):
+        reports.save_model(spark, m, f"{tmp_path}/{name}.npz")
+        assert (reports.load_model(spark, f"{tmp_path}/{name}.npz").predict(x) == m.predict(x)).all()
+    rows = spark.createDataFrame([(v.tolist(), k) for v, k in zip(x, y)], "features array<double>, label string")
+    m = models.fit_sgd(rows, 1e-2, "modified_huber")
+    reports.save_model(spark, m, f"{tmp_path}/h.npz")
+    again = reports.load_model(spark, f"{tmp_path}/h.npz")
+    assert models.predict(again, rows).collect() == models.predict(m, rows).collect()
+
+
+def test_shapes_files_and_names(spark, tmp_path):
+    rows = spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "features array<double>")
+    tables.require_shape(rows, ["a", "b"], rows)
+    for names, metadata in ((["a"], None), (["a", "a"], None), (["a", "b"], rows.limit(1))):
+        with pytest.raises(ContractError):
+            tables.require_shape(rows, names, metadata)
+    with pytest.raises(ContractError):
+        tables.require_files(spark, [f"{tmp_path}/nothing"])
+    names = spark.createDataFrame([("A.png", "x"), ("b.png", "y"), ("B.PNG", "z")], "FileName string, ClassName string")
+    got = matching.with_names(spark.createDataFrame([("a.png",), ("b.png",), (None,)], "FileName string"), names, "FileName", "ClassName")
+    assert {x["FileName"]: x["ClassName"] for x in got.collect()} == {"a.png": "x", "b.png": None, None: None}

@@ -44,11 +44,14 @@ def finite_number(x: Column) -> Column:
     return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
-def tolerant_equal(a: Column, b: Column) -> Column:
-    """Equal as whole numbers, or as trimmed text regardless of case; two nulls are equal."""
-    x, y = (F.when(trimmed(c).rlike(NUMBER), F.floor(trimmed(c).try_cast("double"))) for c in (a, b))
-    text = F.lower(F.coalesce(trimmed(a), F.lit(""))) == F.lower(F.coalesce(trimmed(b), F.lit("")))
-    return F.coalesce(x == y, text)
+def tolerant_equal(a: Column, b: Column, column: str) -> Column:
+    """Of a column named label: equal as whole numbers, their fractions cut off, or else as trimmed text. Of others: as trimmed text regardless of case. Null is empty."""
+    text = [F.coalesce(trimmed(c), F.lit("")) for c in (a, b)]
+    if column != "label":
+        return F.lower(text[0]) == F.lower(text[1])
+    number = [F.when(c.rlike(NUMBER), c.try_cast("double")) for c in text]
+    x, y = (F.signum(n) * F.floor(F.abs(n)) for n in number)
+    return F.coalesce(x == y, text[0] == text[1])
 
 
 def first_existing(columns: list[str], wanted: tuple[str, ...]) -> str | None:
@@ -67,3 +70,8 @@ def is_consistency_feature(name: Column) -> Column:
 
 def run_id(*parts: Column) -> Column:
     return F.concat_ws("|", *parts)
+
+
+def without_true(x: Column) -> Column:
+    """A column name of a confusion table without its True_."""
+    return F.regexp_replace(x, "^True_", "")

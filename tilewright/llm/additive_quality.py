@@ -167,13 +167,16 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """docs(doc_id, text), labels(doc_id, quality 0/1) -> a model, from the `rows` labelled documents with the smallest hashes of doc_id.
 
-    Several labels of one document: the smallest. Null labels or ids are left out.
+    Several labels of one document: the smallest. Several rows of one doc_id:
+    that with the smallest hash of its text. Null labels or ids are left out.
+    Without labelled documents every score is 0.5.
     """
     ship(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     sample = marked.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # bounded by `rows`
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    joined = joined.groupBy("doc_id").agg(F.min_by(F.struct("y", "text"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("r.y", "r.text")
     found = joined.mapInArrow(_featured, "y int, x array<double>").toPandas()
     x = np.stack(found["x"].to_list()) if len(found) else np.empty((0, len(FEATURES)))
     y = found["y"].to_numpy(np.float64)
@@ -182,7 +185,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, score, predicted): score in 0..1, higher where label 1 is likelier; predicted is 1 from the threshold on. A row per row of docs; null text is empty."""
+    """docs(doc_id, text) -> (doc_id, score, predicted): score in 0..1, higher where label 1 is likelier; predicted is 1 from the threshold on. A row per row of docs, repeated ones too; null text is empty. An empty table gives no rows. Other columns are ignored."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

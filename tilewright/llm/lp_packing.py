@@ -6,11 +6,15 @@ histogram of lengths, at most `capacity` numbers however large the corpus, so
 it is solved on the driver: multiplicative weights price the lengths, a
 knapsack dynamic program finds the best configuration at these prices, and
 the fractional solution is rounded down. What is left is solved again, until
-little is left, and that is packed largest first, best fit.
+little is left, and that is packed largest first, best fit. Prices are a dual
+solution too: no packing has fewer sequences than all lengths' price over that
+of the best configuration. The plan says this bound, and how many of its
+sequences come from the program.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,8 +33,8 @@ from .scratch import Scratch
 EPSILON, STEPS, PHASES = 0.1, 300, 3
 
 
-def knapsack(price: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Of lengths (ascending), at most `most` copies each: a configuration of nearly the greatest total price (copies beyond `most` are cut off and the rest kept)."""
+def knapsack(price: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """Of lengths (ascending), at most `most` copies each: a configuration of nearly the greatest total price (copies beyond `most` are cut off and the rest kept), and the greatest price of any number of copies."""
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1, np.int64)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
@@ -51,7 +55,7 @@ def knapsack(price: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity:
         else:
             found[int(pick[c])] += 1
             c -= int(lengths[pick[c]])
-    return {j: min(n, int(most[j])) for j, n in found.items() if most[j] > 0}
+    return {j: min(n, int(most[j])) for j, n in found.items() if most[j] > 0}, float(best[capacity])
 
 
 def _fill(config: dict[int, int], left: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
@@ -69,15 +73,18 @@ def _fill(config: dict[int, int], left: np.ndarray, lengths: np.ndarray, capacit
     return config
 
 
-def fractional(lengths: np.ndarray, count: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often each is used, covering no length more than it occurs."""
+def fractional(lengths: np.ndarray, count: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations and how often each is used, covering no length more than it occurs; and the greatest dual bound met."""
+    bound = float((lengths * count).sum()) / capacity
     weight = lengths / capacity
     covered = np.zeros(len(lengths))
     used: list[tuple[dict[int, int], float]] = []
     for _ in range(STEPS):
-        config = knapsack(weight / weight.max() * lengths ** 0.02, lengths, count, capacity)
+        price = weight / weight.max() * lengths ** 0.02
+        config, top = knapsack(price, lengths, count, capacity)
         if not config:
             break
+        bound = max(bound, float((price * count).sum()) / top)
         js = np.fromiter(config, np.int64)
         a = np.fromiter(config.values(), np.float64)
         step = float((count[js] / a).min())
@@ -85,17 +92,39 @@ def fractional(lengths: np.ndarray, count: np.ndarray, capacity: int) -> list[tu
         covered[js] += a * step / count[js]
         weight[js] *= (1 - EPSILON) ** (a * step / count[js])
     if not used:
-        return []
+        return [], bound
     worst = covered.max()
-    return [(c, x / worst) for c, x in used]
+    return [(c, x / worst) for c, x in used], bound
 
 
-def solve(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length -> copies) and multiplicities that use every length exactly as often as it occurs."""
+class Plan(list):
+    """Configurations (length -> copies) and multiplicities. bound: no packing has fewer sequences; from_program: sequences that rounding the program gave."""
+
+    bound = 0
+    from_program = 0
+
+    @property
+    def sequences(self) -> int:
+        return sum(times for _, times in self)
+
+
+def solve(histogram: dict[int, int], capacity: int) -> Plan:
+    """A plan that uses every length exactly as often as it occurs: of the program rounded down, the program rounded up as far as lengths are left, and the greedy rule alone, the one with the fewest sequences."""
+    known: dict = {}
+    plans = [_solve(histogram, capacity, 1, True, known), _solve(histogram, capacity, PHASES, False, known), _solve(histogram, capacity, 0)]
+    best = min(plans, key=lambda p: (p.sequences, -p.from_program))
+    best.bound = max(p.bound for p in plans)
+    return best
+
+
+def _solve(histogram: dict[int, int], capacity: int, phases: int, up: bool = False, known: dict | None = None) -> Plan:
+    """known keeps the program's first solution for the next call."""
+    known = {} if known is None else known
     left = {l: n for l, n in histogram.items() if n > 0}
-    out: list[tuple[dict[int, int], int]] = []
-    if left.get(capacity):
-        out.append(({capacity: 1}, left.pop(capacity)))
+    out, full = Plan(), left.pop(capacity, 0)
+    if full:
+        out.append(({capacity: 1}, full))
+    out.bound = full + -(-sum(l * n for l, n in left.items()) // capacity)
 
     def arrays() -> tuple[np.ndarray, np.ndarray]:
         ls = np.array(sorted(left), np.int64)
@@ -109,19 +138,25 @@ def solve(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
             if not left[l]:
                 del left[l]
 
-    for _ in range(PHASES):
+    for phase in range(phases):
         if not left:
             break
         lengths, count = arrays()
         now = count.copy()
-        for config, x in sorted(fractional(lengths, count, capacity), key=lambda cx: -cx[1]):
-            # rounded down; a configuration that the rounding before it has thinned out is topped up
+        used, bound = known.get(phase) or fractional(lengths, count, capacity)
+        if not phase:
+            known[phase] = used, bound
+            out.bound = max(out.bound, full + math.ceil(bound - 1e-6))
+        for config, x in sorted(used, key=lambda cx: -cx[1]):
+            # of lengths that others have used up, none is left for this one
             fits = {j: n for j, n in config.items() if now[j] >= n}
             if len(fits) < len(config):
                 continue
-            times = min(int(x), min(int(now[j]) // n for j, n in fits.items()))
+            most = min(int(now[j]) // n for j, n in fits.items())
+            times = most if up else min(int(x), most)
             if times:
                 use(fits, times, lengths)
+                out.from_program += times
                 for j, n in fits.items():
                     now[j] -= n * times
     while left:
@@ -220,9 +255,26 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
     by_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = runs(solve(histogram, capacity))
-    places = spark.createDataFrame(plan, "length long, lo long, hi long, base long, k long, first long") if len(plan) else spark.createDataFrame([], "length long, lo long, hi long, base long, k long, first long")
     before = by_task.selectExpr("length", "part", "sum(n) over (partition by length order by part) - n as before")
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
-    # at most `capacity` lengths times the configurations that hold them, whatever the corpus
-    placed = ranked.join(F.broadcast(places), "length").where("rank >= lo and rank < hi")
-    return placed.selectExpr("doc_id", "piece", "start", "length", "ids_crc32", "base + (rank - lo) div k as sequence_id", "first + (rank - lo) % k * length as offset")
+    ranked = pieces.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    return ranked.mapInArrow(_place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def _place(plan: pd.DataFrame):
+    """Looks up each piece's place: the plan has at most `capacity` lengths times the configurations that hold them, whatever the corpus."""
+    plan = plan.sort_values(["length", "lo"])
+    length, lo, base, k, first = (plan[c].to_numpy() for c in ("length", "lo", "base", "k", "first"))
+    begin = {int(l): int(i) for i, l in reversed(list(enumerate(length)))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            at = np.zeros(len(own), np.int64)
+            for l in np.unique(own).tolist():
+                mine, i = own == l, begin[l]
+                j = int(np.searchsorted(length, l, "right"))
+                at[mine] = i + np.searchsorted(lo[i:j], rank[mine], "right") - 1
+            past = rank - lo[at]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(base[at] + past // k[at]), pa.array(first[at] + past % k[at] * own)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return run

@@ -55,58 +55,69 @@ def repair(ids: np.ndarray, at: np.ndarray, terminals: int, least: int = LEAST_C
     held = np.zeros(1 << _BITS, np.uint64)
     where = np.flatnonzero(~ends[:-1])
     while len(where):
-        pair = seq[where].astype(np.uint64)
+        pair = seq.take(where).astype(np.uint64)
         pair <<= np.uint64(32)
-        pair |= seq[where + 1]
+        pair |= seq.take(where + 1)
         # in a run of one symbol every other pair counts
-        even = np.ones(len(where), bool)
+        odd = np.zeros(len(where), bool)
         again = np.flatnonzero((pair[1:] == pair[:-1]) & (where[1:] == where[:-1] + 1)) + 1
         if len(again):
             n = np.arange(len(again))
             first = np.maximum.accumulate(np.where(np.append(True, again[1:] != again[:-1] + 1), n, 0))
-            even[again[(n - first) % 2 == 0]] = False
+            odd[again[(n - first) % 2 == 0]] = True
         if len(pair) > 1 << 14:
             # counted by hash bucket: one pair of each bucket now, others that may be frequent wait for another hash
-            b = (pair * _MULS[rounds % 3] >> np.uint64(64 - _BITS)).view(np.int64)
-            every = np.bincount(b[even], minlength=1 << _BITS)
-            some = (every >= least)[b]
-            where, pair, b, even = where[some], pair[some], b[some], even[some]
+            bits = min(_BITS, len(pair).bit_length())
+            b = (pair * _MULS[rounds % 3] >> np.uint64(64 - bits)).view(np.int64)
+            every = np.bincount(b, minlength=1 << bits)
+            some = np.flatnonzero((every >= least).take(b))
+            where, pair, b, odd = where.take(some), pair.take(some), b.take(some), odd.take(some)
             held[b] = pair
-            hit = held[b] == pair
-            counts = np.bincount(b[hit & even], minlength=1 << _BITS)
-            wait = where[~hit & (every - counts >= least)[b]]
-            some = hit & (counts >= least)[b]
-            keys = held
+            hit = held.take(b) == pair
+            counts = np.bincount(b.take(np.flatnonzero(hit & ~odd)), minlength=1 << bits)
+            wait = where.take(np.flatnonzero((every - counts >= least).take(b) & ~hit))
+            frequent = np.flatnonzero(counts >= least)
+            number = np.full(1 << bits, -1, np.int32)
+            number[frequent] = np.arange(len(frequent), dtype=np.int32)
+            pair_of, counts, kind = held.take(frequent), counts.take(frequent), number.take(b)
+            kind[~hit] = -1
         else:
             keys, b = np.unique(pair, return_inverse=True)
-            counts = np.bincount(b[even], minlength=len(keys))
-            wait, some = where[:0], (counts >= least)[b]
+            counts = np.bincount(b[~odd], minlength=len(keys))
+            wait, frequent = where[:0], np.flatnonzero(counts >= least)
+            number = np.full(len(keys), -1, np.int32)
+            number[frequent] = np.arange(len(frequent), dtype=np.int32)
+            pair_of, counts, kind = keys.take(frequent), counts.take(frequent), number.take(b)
         rounds += 1
-        where, b, even = where[some], b[some], even[some]
+        some = np.flatnonzero(kind >= 0)
+        where, kind, odd = where.take(some), kind.take(some), odd.take(some)
         if not len(where):
             where = wait
             continue
-        weight = np.where(even, counts[b] << np.int64(_BITS + 1) | b, -1)
+        weight = (counts * len(counts) + np.arange(len(counts))).take(kind)
+        weight[odd] = -1
         beside = where[1:] == where[:-1] + 1
-        keep = even.copy()
+        keep = ~odd
         keep[1:] &= ~beside | (weight[1:] > weight[:-1])
         keep[:-1] &= ~beside | (weight[:-1] > weight[1:])
-        win = np.bincount(b[keep], minlength=len(counts)) >= least
-        keep &= win[b]
-        chosen, put = np.flatnonzero(win), where[keep]
-        number = np.zeros(len(counts), np.uint32)
-        number[chosen] = np.arange(terminals + n_rules, terminals + n_rules + len(chosen), dtype=np.uint32)
-        rules.append(np.stack([keys[chosen] >> np.uint64(32), keys[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        win = np.bincount(kind.take(np.flatnonzero(keep)), minlength=len(counts)) >= least
+        kept = np.flatnonzero(keep & win.take(kind))
+        chosen, put = np.flatnonzero(win), where.take(kept)
+        symbol = np.zeros(len(counts), np.uint32)
+        symbol[chosen] = np.arange(terminals + n_rules, terminals + n_rules + len(chosen), dtype=np.uint32)
+        rules.append(np.stack([pair_of[chosen] >> np.uint64(32), pair_of[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         n_rules += len(chosen)
-        seq[put] = number[b[keep]]
-        ends[put] = ends[put + 1]
+        seq[put] = symbol.take(kind.take(kept))
+        ends[put] = ends.take(put + 1)
         left, may = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         left[put + 1] = False
-        may[where] = may[wait] = True
-        before = put[put > 0] - 1
-        may[before - ~left[before]] = True
-        may &= left & ~ends
-        seq, ends, where = seq[left], ends[left], np.flatnonzero(may[left])
+        may[where] = True
+        may[wait] = True
+        before = put[1 if len(put) and not put[0] else 0 :] - 1
+        may[before - ~left.take(before)] = True
+        may &= ~ends
+        stay = np.flatnonzero(left)
+        seq, ends, where = seq.take(stay), ends.take(stay), np.flatnonzero(may.take(stay))
     symbol_at = np.zeros(len(at), np.int64)
     symbol_at[1:][at[1:] > at[:-1]] = np.flatnonzero(ends) + 1
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), np.maximum.accumulate(symbol_at)
@@ -233,14 +244,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """docs(doc_id, text) -> the written table of shards (part, seq, base, n_docs, n_tokens, shard) at path.
 
     Rows are range-partitioned by doc_id, so ascending (part, seq) is ascending
-    doc_id (nulls first; rows of one doc_id by text). base is the number of ids
-    before the shard within its part. Null text is empty. Any vocabulary of the
-    tokenizers library; end_id is appended to each document.
+    doc_id (nulls first). Rows of one doc_id, or without one, go by a hash of
+    their text, so they may fill many parts. base is the number of ids before
+    the shard within its part. Null text is empty. An empty table gives no
+    shards. Any byte-level vocabulary of the tokenizers library; end_id is
+    appended to each document.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     shards = ordered.mapInArrow(W.tidied(_write(tokenizer or default_path(), end_id)), _SHARDS)
     shards.write.mode("overwrite").parquet(path)
     return spark.read.schema(_SHARDS).parquet(path)

@@ -27,6 +27,17 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_made: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables of all runs of this application. Results that are still to be computed from them are lost."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for base in _made.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(conf).delete(path, True)
+
+
 class Scratch:
     """Tables of one run of an operator: written once, reread from shared storage,
     so a lost executor costs no more than the stage it was in."""
@@ -34,6 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark, self.base = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        _made.setdefault(spark.sparkContext.applicationId, []).append(self.base)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{name}"

@@ -51,7 +51,6 @@ def require_complete(grid: DataFrame, ledger: DataFrame) -> None:
         raise ContractError(f"screening isn't complete: {[r['run_id'] for r in left]}")
 
 
-
 def _order(*extra: str):
     return [F.col("accuracy").desc(), F.col("f1").desc(), *(F.col(c).asc() for c in extra)]
 
@@ -62,6 +61,14 @@ def top_n(ledger: DataFrame, by: list[str], n: int = 3, ties: tuple[str, ...] =
     return ledger.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def tuned(ledger: DataFrame) -> DataFrame:
+    """Completed tuning runs, of which the best are chosen; none is an error."""
+    done = ledger.where("status = 'Completed' and trim(stage) = 'Tuning'")
+    if not done.head(1):
+        raise ContractError("no completed tuning run")
+    return done
+
+
 def best(ledger: DataFrame, by: list[str], ties: tuple[str, ...] = ("k", "method", "model")) -> DataFrame:
     """One row of each key: an aggregate with map-side combining, not a sort."""
     key = F.struct((-F.col("accuracy")).alias("a"), (-F.col("f1")).alias("f"), *ties)

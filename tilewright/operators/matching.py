@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -39,14 +39,25 @@ def attach_groups(features: DataFrame, groups: DataFrame, name: str, group_name:
     by_name = g.select("__key", struct)
     lone = g.groupBy("__stem").agg(F.count("*").alias("n"), F.first(F.struct(*carried)).alias("__s")).where("n = 1").select("__stem", "__s")
     f = features.withColumn("__key", K.basename(F.col(name))).withColumn("__stem", K.stem(F.col(name)))
-    first = f.join(by_name, "__key", "left").withColumn("__want", F.when(F.col("__g").isNull() & (F.col("__stem") != ""), F.col("__stem")))
-    both = first.join(lone.withColumnRenamed("__stem", "__want"), "__want", "left")
-    out = both.select(*features.columns, *(F.coalesce(F.col(f"__g.{c}"), F.col(f"__s.{c}")).alias(c) for c in carried), F.when(F.col("__g").isNotNull(), "name").when(F.col("__s").isNotNull(), "stem").alias("matched_by"))
+    first = f.join(by_name, "__key", "left").withColumn("__by", F.when(F.col("__g").isNotNull(), "name"))
+    # only rows that are left go through the second join: those matched by name share no key there
+    done = first.where("__by is not null or __stem = ''")
+    left = first.where("__by is null and __stem != ''").drop("__g").join(lone.withColumnRenamed("__s", "__g"), "__stem", "left").withColumn("__by", F.when(F.col("__g").isNotNull(), "stem"))
+    both = done.select(*features.columns, "__g", "__by").unionByName(left.select(*features.columns, "__g", "__by"))
+    out = both.select(*features.columns, *(F.col(f"__g.{c}").alias(c) for c in carried), F.col("__by").alias("matched_by"))
     if strict and out.where("matched_by is null").head(1):
         raise ContractError("some rows match no group")
     return out
 
 
+def with_names(rows: DataFrame, names: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with `value` looked up by normalised key where rows have no such column, or null in it. Keys that names has more than once give nothing."""
+    found = usable_keys(names.withColumn("__key", K.match_key(key, F.col(key))), "__key").select("__key", F.col(value).alias("__value"))
+    j = rows.withColumn("__key", K.match_key(key, F.col(key))).join(found, "__key", "left")
+    kept = F.coalesce(F.col(value), F.col("__value")) if value in rows.columns else F.col("__value")
+    return j.select(*[c for c in rows.columns if c != value], kept.alias(value))
+
+
 def unmatched(attached: DataFrame) -> DataFrame:
     return attached.where("matched_by is null").drop("matched_by")
 
@@ -78,16 +89,16 @@ def transfer(target: DataFrame, reference: DataFrame, target_key: str, reference
 
 
 def mismatches(target: DataFrame, reference: DataFrame, target_key: str, reference_key: str, column: str, row_id: str) -> DataFrame:
-    """(row_id, target_value, reference_value) of matched rows that disagree on a column, by tolerant equality."""
+    """(row_id, target_value, reference_value) of matched rows that disagree on a column, by the tolerant equality of that column."""
     r = usable_keys(reference.withColumn("__key", K.match_key(reference_key, F.col(reference_key))), "__key").select("__key", F.col(column).cast("string").alias("reference_value"))
     t = target.select(F.col(row_id), K.match_key(target_key, F.col(target_key)).alias("__key"), F.col(column).cast("string").alias("target_value"))
-    return t.join(r, "__key").where(~K.tolerant_equal(F.col("target_value"), F.col("reference_value"))).select(row_id, "target_value", "reference_value")
+    return t.join(r, "__key").where(~K.tolerant_equal(F.col("target_value"), F.col("reference_value"), column)).select(row_id, "target_value", "reference_value")
 
 
 def repeated_rows(target: DataFrame, key: str, row_id: str) -> DataFrame:
     """(row_id, key, n) of target rows whose normalised key others share."""
-    t = target.select(F.col(row_id), K.match_key(key, F.col(key)).alias("match_value"))
-    return t.withColumn("n", F.count("*").over(Window.partitionBy("match_value"))).where("n > 1 and match_value != ''")
+    t = target.select(F.col(row_id), K.match_key(key, F.col(key)).alias("match_value")).where("match_value != ''")
+    return t.join(t.groupBy("match_value").agg(F.count("*").alias("n")).where("n > 1"), "match_value").select(row_id, "match_value", "n")
 
 
 def aligned(a: DataFrame, b: DataFrame, row_id: str) -> DataFrame:

@@ -65,15 +65,15 @@ def summary(matrix: DataFrame, by: list[str] | None = None) -> DataFrame:
     return occurs.groupBy(*by).agg(F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("accuracy"), *cols, F.sum("support").alias("n"))
 
 
-def auc(rows: DataFrame, positive: str, score: str, by: list[str] | None = None, buckets: int = 4096) -> DataFrame:
-    """(by..., auc): the chance that a positive outscores a negative, ties half (mid-ranks); null without both kinds. Null and NaN scores are left out.
+def auc(rows: DataFrame, positive: str, score: str, by: list[str] | None = None, buckets: int = 4096, weight: str | None = None) -> DataFrame:
+    """(by..., auc): the chance that a positive outscores a negative, ties half (mid-ranks); null without both kinds. Null and NaN scores are left out. weight: how often a row counts.
 
     Rows are first counted by distinct score; these go to buckets of equal
     width between the extremes, and only within a bucket are scores ordered.
     """
     by = by or []
     ok = rows.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    c = ok.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+    c = ok.groupBy(*by, F.col(score).cast("double").alias("s")).agg(*(F.sum(F.when(c, F.col(weight) if weight else F.lit(1)).otherwise(0)).alias(n) for c, n in ((F.col(positive), "p"), (~F.col(positive), "q"))))
     ends = c.groupBy(*by).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     c = (c.join(ends, by) if by else c.crossJoin(F.broadcast(ends))).withColumn("b", F.least(F.floor(F.coalesce(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * buckets), F.lit(buckets - 1)))
     per = c.groupBy(*by, "b").agg(F.sum("q").alias("qb"))
@@ -83,9 +83,13 @@ def auc(rows: DataFrame, positive: str, score: str, by: list[str] | None = None,
     return g.select(*by, F.try_divide(F.col("u"), F.col("n1").cast("double") * F.col("n0")).alias("auc"))
 
 
-def macro_auc(rows: DataFrame, label: str, scores: str, labels: list) -> DataFrame:
-    """(auc): mean one-versus-rest area over the given labels; scores is an array in their order."""
-    pairs = rows.select(F.col(label).alias("label"), F.posexplode(scores).alias("k", "s"))
+def macro_auc(rows: DataFrame, label: str, scores: str, labels: list, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(by..., auc): mean one-versus-rest area over the given labels; scores is an array in their order. With two labels the area is that of the second."""
+    by = by or []
+    extra = [weight] if weight else []
+    pairs = rows.select(*by, *extra, F.col(label).alias("label"), F.posexplode(scores).alias("k", "s"))
+    if len(labels) == 2:
+        pairs = pairs.where("k = 1")
     names = F.array(*map(F.lit, labels))
-    each = auc(pairs.select("k", (F.col("label") == F.element_at(names, F.col("k") + 1)).alias("y"), "s"), "y", "s", ["k"])
-    return each.agg(F.avg("auc").alias("auc"))
+    each = auc(pairs.select(*by, *extra, "k", (F.col("label") == F.element_at(names, F.col("k") + 1)).alias("y"), "s"), "y", "s", [*by, "k"], weight=weight)
+    return each.groupBy(*by).agg(F.avg("auc").alias("auc"))

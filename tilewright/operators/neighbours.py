@@ -28,8 +28,21 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array(ids, np.int64), np.array(vectors, np.float64)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """rows(id, features, label), queries(id, features) -> (query, id, label, distance, rank): the k nearest rows of each query by Euclidean distance, ties by id.
+def _closest(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all rows that may be among the k nearest of a query: by one matrix product, with room for its rounding. own marks rows that don't count."""
+    d = (q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * (q @ x.T)
+    d[own] = np.inf
+    if d.shape[1] > k:
+        last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        scale = (q**2).sum(1)[:, None] + (x**2).sum(1).max()
+        near = d <= last + 1e-9 * scale
+    else:
+        near = np.ones(d.shape, bool)
+    return np.nonzero(near & ~own)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, itself: bool = True) -> DataFrame:
+    """rows(id, features, label), queries(id, features) -> (query, id, label, distance, rank): the k nearest rows of each query by Euclidean distance, ties by id. Without itself, rows with the query's id don't count.
 
     Each task keeps the k best of its rows for every query of the block, so
     what is shuffled is k rows per query and task, whatever the number of rows.
@@ -39,23 +52,27 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def search(qid: np.ndarray, q: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = [np.empty((0, 2))] * len(qid)
+            found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # query, id, distance
             labels: dict[int, object] = {}
             for batch in batches:
                 for a in range(0, batch.num_rows, 2048):
                     part = batch.slice(a, 2048)
                     ids = part.column(0).to_numpy().astype(np.int64)
                     x = np.array(part.column(1).to_pylist(), np.float64)
-                    names = part.column(2).to_pylist()
-                    for i in range(len(qid)):
-                        d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                        every = np.concatenate([best[i], np.stack([d, ids], axis=1)])
-                        best[i] = every[np.lexsort((every[:, 1], every[:, 0]))[:k]]
-                    wanted = {int(y) for b in best for y in b[:, 1]}
-                    labels = {i: v for i, v in (labels | dict(zip(ids.tolist(), names))).items() if i in wanted}
-            rows_ = [(int(qid[i]), int(y), labels[int(y)], float(d)) for i, b in enumerate(best) for d, y in b]
-            cols = list(zip(*rows_)) if rows_ else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], out_kind), pa.array(cols[3], pa.float64())], names=["query", "id", "label", "distance"])
+                    own = np.zeros((len(qid), len(ids)), bool) if itself else qid[:, None] == ids
+                    i, j = _closest(q, x, k, own)
+                    d = np.concatenate([np.sqrt(((x[j[s : s + 65536]] - q[i[s : s + 65536]]) ** 2).sum(axis=1)) for s in range(0, len(i), 65536)] or [np.empty(0)])
+                    every = [np.concatenate(y) for y in zip(found, (i, ids[j], d))]
+                    order = np.lexsort((every[1], every[2], every[0]))
+                    every = [y[order] for y in every]
+                    first = np.searchsorted(every[0], every[0])
+                    kept = np.arange(len(order)) - first < k
+                    found = tuple(y[kept] for y in every)
+                    names = part.column(2)
+                    labels |= {int(ids[y]): names[int(y)].as_py() for y in np.unique(j).tolist()}
+                wanted = set(found[1].tolist())
+                labels = {y: v for y, v in labels.items() if y in wanted}
+            yield pa.RecordBatch.from_arrays([pa.array(qid[found[0]], pa.int64()), pa.array(found[1], pa.int64()), pa.array([labels[y] for y in found[1].tolist()], out_kind), pa.array(found[2], pa.float64())], names=["query", "id", "label", "distance"])
 
         return run
 

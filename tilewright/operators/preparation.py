@@ -11,12 +11,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import audit
+from .quantiles import quantiles
+
 IQR_FACTOR = 1.5
 
 
-def _quantile(x: Column, at: list[float], accuracy: int | None) -> Column:
-    """Exact; with an accuracy, Spark's sketch, whose state doesn't grow with distinct values."""
-    return F.percentile(x, F.array(*map(F.lit, at))) if accuracy is None else F.percentile_approx(x, F.array(*map(F.lit, at)), accuracy)
+def coerce(long: DataFrame) -> DataFrame:
+    """long(..., feature, raw) -> value in place of raw, and became_null: non_numeric, positive_inf, negative_inf or invalid_negative for a raw value that isn't kept; null for one that is, or was missing.
+
+    Values below 0 are kept in consistency features only.
+    """
+    c = audit.classify(long)
+    bad = F.col("below") & ~F.col("allowed")
+    reason = F.when(F.col("issue") == "Text", "non_numeric").when(F.col("issue") == "Positive_Inf", "positive_inf").when(F.col("issue") == "Negative_Inf", "negative_inf").when(bad, "invalid_negative")
+    return c.withColumn("became_null", reason).withColumn("value", F.when(~bad, F.col("value"))).drop("raw", "issue", "below", "allowed")
+
+
+def coercion_counts(coerced: DataFrame) -> DataFrame:
+    """(scenario, split, non_numeric, positive_inf, negative_inf, invalid_negative)."""
+    kinds = ("non_numeric", "positive_inf", "negative_inf", "invalid_negative")
+    return coerced.groupBy("scenario", "split").agg(*(F.count_if(F.coalesce(F.col("became_null") == k, F.lit(False))).alias(k) for k in kinds))
+
+
+def _quantiles(rows: DataFrame, keys: list[str], at: list[float], accuracy: int | None) -> DataFrame:
+    """Exact; with an accuracy, Spark's sketch alone, in one pass."""
+    if accuracy is None:
+        return quantiles(rows, keys, "value", at)
+    return rows.groupBy(*keys).agg(F.percentile_approx("value", F.array(*map(F.lit, at)), accuracy).alias("q"))
 
 
 def clipped(x: Column, lo: Column, hi: Column) -> Column:
@@ -28,17 +50,23 @@ def fit(long: DataFrame, factor: float = IQR_FACTOR, accuracy: int | None = None
     """One row per scenario and feature: median, q1, q3, iqr, lower, upper, mean, std (population), min, max, missing, constant, keep. Features without a value or with one value in Train have keep = false."""
     keys = ["scenario", "feature"]
     train = long.where("split = 'Train'")
-    p1 = train.groupBy(*keys).agg(_quantile(F.col("value"), [0.5], accuracy)[0].alias("median"), F.count_if(F.col("value").isNull()).alias("missing"), F.min("value").alias("a"), F.max("value").alias("b"), F.min("pos").alias("pos"))
+    p1 = train.groupBy(*keys).agg(F.count_if(F.col("value").isNull()).alias("missing"), F.min("value").alias("a"), F.max("value").alias("b"), F.min("pos").alias("pos"))
+    p1 = p1.join(_quantiles(train, keys, [0.5], accuracy).select(*keys, F.col("q")[0].alias("median")), keys, "left")
     p1 = p1.select(*keys, "pos", "median", "missing", F.coalesce(F.col("a") == F.col("b"), F.lit(True)).alias("constant"))
     filled = train.join(p1, keys).withColumn("value", F.coalesce("value", "median"))
-    q = filled.groupBy(*keys).agg(_quantile(F.col("value"), [0.25, 0.75], accuracy).alias("q")).select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = _quantiles(filled, keys, [0.25, 0.75], accuracy).select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    p2 = p1.join(q, keys).withColumn("iqr", iqr).withColumn("lower", F.when(iqr > 0, F.col("q1") - factor * iqr)).withColumn("upper", F.when(iqr > 0, F.col("q3") + factor * iqr))
+    p2 = p1.join(q, keys, "left").withColumn("iqr", iqr).withColumn("lower", F.when(iqr > 0, F.col("q1") - factor * iqr)).withColumn("upper", F.when(iqr > 0, F.col("q3") + factor * iqr))
     cut = train.join(p2, keys).withColumn("value", clipped(F.coalesce("value", "median"), F.col("lower"), F.col("upper")))
     p3 = cut.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     return p2.join(p3, keys).withColumn("keep", ~F.col("constant"))
 
 
+def frozen(params: DataFrame) -> DataFrame:
+    """The parameters as a local table, so that what reads them doesn't fit again. They have a row for each feature of a scenario."""
+    return params.sparkSession.createDataFrame(params.collect(), params.schema)
+
+
 def transform(long: DataFrame, params: DataFrame) -> DataFrame:
     """long with clean, standard, minmax and was_missing, low, high; features with keep = false are left out. A deviation or range of 0 gives 0; values outside Train's range aren't cut."""
     p = params.where("keep").select("scenario", "feature", "median", "lower", "upper", "mean", "std", "min", "max")
@@ -52,8 +80,8 @@ def transform(long: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def counts(prepared: DataFrame) -> DataFrame:
-    """(scenario, split, n_values, missing, low, high)."""
-    return prepared.groupBy("scenario", "split").agg(F.count("*").alias("n_values"), F.count_if("was_missing").alias("missing"), F.count_if("low").alias("low"), F.count_if("high").alias("high"))
+    """(scenario, split, n_values, missing, missing_after, low, high)."""
+    return prepared.groupBy("scenario", "split").agg(F.count("*").alias("n_values"), F.count_if("was_missing").alias("missing"), F.count_if(F.col("clean").isNull()).alias("missing_after"), F.count_if("low").alias("low"), F.count_if("high").alias("high"))
 
 
 def to_wide(prepared: DataFrame, value: str) -> DataFrame:

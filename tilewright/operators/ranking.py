@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .matching import ContractError
 
+#: Fixed values.
 K_VALUES = (25, 50, 75, 100, 125, 150, 175, 200, 225)
 KEYS = ["scenario", "feature", "pos"]
 
@@ -167,7 +168,7 @@ def _with_scores(names: DataFrame, values: list[float], spark) -> DataFrame:
     return nth.join(s, "i").select(*KEYS, "score")
 
 
-def forest_importance(wide: DataFrame, names: DataFrame, trees: int = 300, depth: int = 12, seed: int = 42) -> DataFrame:
+def forest_importance(wide: DataFrame, names: DataFrame, trees: int = 300, depth: int | None = None, seed: int = 42) -> DataFrame:
     """wide(features array, label) of one scenario, names(scenario, feature, pos) -> importances of a class-balanced random forest (Spark's trees: binned splits, bounded depth)."""
     from . import models
 

@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .matching import ContractError
 
+#: The scenarios in the order of reports, and the names that are never features.
 SCENARIOS = ("Binary", "Three_Class", "Five_Class")
 METADATA = frozenset(
-    # fixed values: the names that are never features
-    "ImgName FileName ImagePath ClassName label SourceGroupID PatchSize ImageWidth ImageHeight ImageSHA256 Split split stem filename tissue group_id "
-    "local_cluster_label LC25000_ClassName LC25000_FileName LC25000_Tissue Previous_SourceGroupID _match_stem_LC25000 LC25000_GroupID LC25000_LocalCluster".split()
+    {
+        "ImgName",
+        "FileName",
+        "ImagePath",
+        "ClassName",
+        "label",
+        "SourceGroupID",
+        "PatchSize",
+        "ImageWidth",
+        "ImageHeight",
+        "ImageSHA256",
+        "Split",
+        "split",
+        "stem",
+        "filename",
+        "tissue",
+        "group_id",
+        "local_cluster_label",
+        "LC25000_ClassName",
+        "LC25000_FileName",
+        "LC25000_Tissue",
+        "Previous_SourceGroupID",
+        "_match_stem_LC25000",
+        "LC25000_GroupID",
+        "LC25000_LocalCluster",
+    }
 )
 
 
@@ -32,8 +54,7 @@ def discover(ranking: DataFrame, fast: tuple[int, ...] | None = None) -> DataFra
 
 def selected(lists: DataFrame, scenario: str, method: str, k: int) -> list[str]:
     """The names of one list in rank order; wrong length or repeated names are an error."""
-    rows = lists.where((F.col("scenario") == scenario) & (F.col("method") == method) & (F.col("k") == k)).orderBy("rank").select("feature").limit(k + 1).collect()
-    names = [r[0] for r in rows]
+    names = [r["feature"] for r in list_features(lists, scenario, method, k).limit(k + 1).collect()]
     if len(names) != k or len(set(names)) != k:
         raise ContractError(f"{method} has {len(set(names))} of {k} features for {scenario}")
     return names
@@ -64,5 +85,16 @@ def require_winner(frozen: dict, winner: dict, tolerance: float = 1e-15) -> None
             raise ContractError(f"frozen {k} is {v!r}, validation picks {w!r}")
 
 
-def true_label(name: str) -> str:
-    return re.sub(r"^True_", "", name)
+def in_scenario_order(rows: DataFrame, order: tuple[str, ...] = SCENARIOS, column: str = "scenario") -> DataFrame:
+    """One report row for each scenario, with its place from 1; a missing or repeated scenario is an error, others are left out."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    found = rows.withColumn("place", place).where("place > 0")
+    n = {r[0]: r[1] for r in found.groupBy(column).count().collect()}  # as many as scenarios
+    if missing := [s for s in order if n.get(s) != 1]:
+        raise ContractError(f"not one row each for {missing}")
+    return found.orderBy("place")
+
+
+def list_features(lists: DataFrame, scenario: str, method: str, k: int) -> DataFrame:
+    """(rank, feature) of one list, by rank."""
+    return lists.where((F.col("scenario") == scenario) & (F.col("method") == method) & (F.col("k") == k)).select("rank", "feature").orderBy("rank")

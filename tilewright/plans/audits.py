@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators import preparation as P
 from .base import longs, query, read, rounded
 
 _SPOILT = "CASE (l_orderkey + l_linenumber) % 23 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'abc' WHEN 3 THEN 'inf' WHEN 4 THEN '-Inf' WHEN 5 THEN '-' || CAST(l_quantity AS {text}) WHEN 6 THEN '1d' ELSE CAST(l_quantity AS {text}) END"
@@ -40,9 +41,9 @@ _AUDIT = f"""{_BASE}, au AS (SELECT scenario, feature, count(*) AS total_rows, c
   count(DISTINCT {_TV}) AS unique_train, min({_TV}) AS min_train, max({_TV}) AS max_train, avg({_TV}) AS mean_train, stddev_samp({_TV}) AS std_train,
   quantile_cont(value, 0.5) FILTER (split = 'Train') AS median_train, quantile_cont(value, 0.25) FILTER (split = 'Train') AS q1_train, quantile_cont(value, 0.75) FILTER (split = 'Train') AS q3_train
   FROM c GROUP BY scenario, feature),
-audit AS (SELECT *, q3_train - q1_train AS iqr_train, unique_train <= 1 AS constant_train,
+audit AS (SELECT *, q3_train - q1_train AS iqr_train, q1_train - 1.5 * (q3_train - q1_train) AS outlier_lower_train, q3_train + 1.5 * (q3_train - q1_train) AS outlier_upper_train, unique_train <= 1 AS constant_train,
   missing_all + text_all + positive_inf_all + negative_inf_all + invalid_negative_all + CAST(unique_train <= 1 AS BIGINT) AS flags FROM au)"""
-_FLOATS = ["min_train", "max_train", "mean_train", "std_train", "median_train", "q1_train", "q3_train", "iqr_train"]
+_FLOATS = ["min_train", "max_train", "mean_train", "std_train", "median_train", "q1_train", "q3_train", "iqr_train", "outlier_lower_train", "outlier_upper_train"]
 
 
 @query(f"WITH {_AUDIT} SELECT * REPLACE ({', '.join(f'round({x}, 6) + 0.0::DOUBLE AS {x}' for x in _FLOATS)}) FROM audit")
@@ -50,6 +51,29 @@ def audit_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.audit_features(long_rows(spark, d)), 6, *_FLOATS)
 
 
+_OUTLIERS = """b AS (SELECT scenario, feature, coalesce(iqr_train > 0, false) AS usable, q1_train - 1.5 * iqr_train AS lower, q3_train + 1.5 * iqr_train AS upper FROM audit)"""
+
+
+@query(f"""WITH {_AUDIT}, {_OUTLIERS}, n AS (SELECT scenario, feature, count(*) FILTER (usable AND (value < lower OR value > upper)) AS outliers_all_splits FROM c JOIN b USING (scenario, feature) GROUP BY ALL)
+SELECT * REPLACE ({', '.join(f'round({x}, 6) + 0.0::DOUBLE AS {x}' for x in _FLOATS)}), row_number() OVER (PARTITION BY scenario ORDER BY flags DESC, outliers_all_splits DESC, feature) AS place FROM audit JOIN n USING (scenario, feature)""")
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.audit_report(long_rows(spark, d)), 6, *_FLOATS)
+
+
+_COERCED = "CASE WHEN issue = 'Text' THEN 'non_numeric' WHEN issue = 'Positive_Inf' THEN 'positive_inf' WHEN issue = 'Negative_Inf' THEN 'negative_inf' WHEN value < 0 AND NOT allowed THEN 'invalid_negative' END AS became_null"
+
+
+@query(f"WITH {_BASE} SELECT scenario, feature, row_id, split, CASE WHEN NOT coalesce(value < 0 AND NOT allowed, false) THEN value END AS value, {_COERCED} FROM c")
+def prep_coerced(spark: SparkSession, d: str) -> DataFrame:
+    return P.coerce(long_rows(spark, d))
+
+
+@query(f"""WITH {_BASE}, n AS (SELECT scenario, split, {_COERCED} FROM c)
+SELECT scenario, split, {", ".join(f"count(*) FILTER (became_null = '{k}') AS {k}" for k in ("non_numeric", "positive_inf", "negative_inf", "invalid_negative"))} FROM n GROUP BY ALL""")
+def prep_coercion_counts(spark: SparkSession, d: str) -> DataFrame:
+    return P.coercion_counts(P.coerce(long_rows(spark, d)))
+
+
 @query(f"""WITH {_AUDIT}, b AS (SELECT scenario, feature, coalesce(iqr_train > 0, false) AS usable, q1_train - 1.5 * iqr_train AS lower, q3_train + 1.5 * iqr_train AS upper FROM audit),
 n AS (SELECT scenario, feature, split, usable, lower, upper, count(*) AS rows, count(value) AS finite,
   count(*) FILTER (usable AND value < lower) AS low, count(*) FILTER (usable AND value > upper) AS high FROM c JOIN b USING (scenario, feature) GROUP BY ALL)

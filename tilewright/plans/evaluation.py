@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap as B
 from ..operators import ledger as L
 from ..operators import metrics as M
+from ..operators import selection as S
 from .base import longs, query, read, rounded
 
 
@@ -76,20 +77,38 @@ def auc_ovr_macro(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.macro_auc(cut, "label", "scores", labels), 6, "auc")
 
 
-_DRAWS = 25
-_CI = ["accuracy", "macro_f1", "weighted_f1"]
+_TESTED = """tested AS (SELECT vec_id, 'g' || (vec_id % 97) AS grp, CASE WHEN label < 5 THEN 'a' ELSE 'b' END AS truth, CASE WHEN embedding[1] > embedding[2] THEN 'a' ELSE 'b' END AS predicted,
+  CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS s FROM embeddings)"""
 
 
-@query(f"""WITH {_PRED}, g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS i FROM (SELECT DISTINCT grp FROM pred)), n AS (SELECT count(*) AS n FROM g),
-t AS (SELECT draw, (draw * 7919 + j * 104729 + draw * j * 31 + 17) % 1000003 % n AS i FROM n, range({_DRAWS}) a(draw), range((SELECT n FROM n)) b(j)),
-cm AS (SELECT draw, truth, predicted, count(*) AS n FROM t JOIN g USING (i) JOIN pred p ON p.grp = g.grp GROUP BY ALL),
-c AS ({_class_sql('cm', 'draw')}), s AS (SELECT *, {_SCORES} FROM c), m AS (SELECT draw, {_SUMMARY} FROM s GROUP BY draw),
-pc AS (SELECT truth, predicted, count(*) AS n FROM pred GROUP BY ALL), c1 AS ({_class_sql('pc')}), s1 AS (SELECT *, {_SCORES} FROM c1), p AS (SELECT {_SUMMARY} FROM s1)
+def tested(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of two classes with scores, in source groups."""
+    e, x = read(spark, d, "embeddings"), F.transform("embedding", lambda v: v.cast("double"))
+    s = x[1] - x[0]
+    return e.select("vec_id", F.concat(F.lit("g"), (F.col("vec_id") % 97).cast("string")).alias("grp"), F.when(F.col("label") < 5, "a").otherwise("b").alias("truth"), F.when(x[0] > x[1], "a").otherwise("b").alias("predicted"), F.array(-s, s).alias("scores"))
+
+
+def _weighted_auc(source: str) -> str:
+    return f"""SELECT draw, sum(p * (below + q * 0.5::DOUBLE)) / nullif(CAST(sum(p) AS DOUBLE) * sum(q), 0) AS macro_auc FROM (
+    SELECT *, sum(q) OVER (PARTITION BY draw ORDER BY s) - q AS below FROM (SELECT draw, s, sum(CASE WHEN truth = 'b' THEN times ELSE 0 END) AS p, sum(CASE WHEN truth = 'b' THEN 0 ELSE times END) AS q FROM {source} GROUP BY ALL)) GROUP BY draw"""
+
+
+_CI = list(B.METRICS)
+
+
+@query(f"""WITH {_TESTED}, g AS (SELECT grp, row_number() OVER (ORDER BY md5(grp), grp) - 1 AS i FROM (SELECT DISTINCT grp FROM tested)), n AS (SELECT count(*) AS n FROM g),
+t AS (SELECT draw, (draw * 7919 + j * 104729 + draw * j * 31 + 17) % 1000003 % n AS i, count(*) AS times FROM n, range({B.REPEATS}) a(draw), range((SELECT n FROM n)) b(j) GROUP BY ALL),
+r AS (SELECT draw, times, truth, predicted, s FROM t JOIN g USING (i) JOIN tested p ON p.grp = g.grp),
+cm AS (SELECT draw, truth, predicted, sum(times) AS n FROM r GROUP BY ALL),
+c AS ({_class_sql('cm', 'draw')}), sc AS (SELECT *, {_SCORES} FROM c), m AS (SELECT * FROM (SELECT draw, {_SUMMARY} FROM sc GROUP BY draw) JOIN ({_weighted_auc('r')}) USING (draw)),
+pc AS (SELECT truth, predicted, count(*) AS n FROM tested GROUP BY ALL), c1 AS ({_class_sql('pc')}), s1 AS (SELECT *, {_SCORES} FROM c1),
+one AS (SELECT 0 AS draw, 1 AS times, truth, s FROM tested), p AS (SELECT * FROM (SELECT {_SUMMARY} FROM s1), ({_weighted_auc('one')}))
 {" UNION ALL ".join(f"SELECT '{x}' AS metric, round((SELECT {x} FROM p), 6) + 0.0::DOUBLE AS point, round(quantile_cont({x}, 0.025), 6) + 0.0::DOUBLE AS lower, round(quantile_cont({x}, 0.975), 6) + 0.0::DOUBLE AS upper FROM m" for x in _CI)}""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d)
-    dist = B.distribution(p, "truth", "predicted", "grp", B.hashed_draws(p, "grp", _DRAWS))
-    return rounded(B.intervals(dist, M.summary(M.confusion(p, "truth", "predicted")), _CI), 6, "point", "lower", "upper")
+    p = tested(spark, d)
+    dist = B.distribution(p, "truth", "predicted", "grp", B.hashed_draws(p, "grp"), "scores", ["a", "b"])
+    point = M.summary(M.confusion(p, "truth", "predicted")).join(M.macro_auc(p, "truth", "scores", ["a", "b"]).withColumnRenamed("auc", "macro_auc"))
+    return rounded(B.intervals(dist, point, _CI), 6, "point", "lower", "upper")
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +132,24 @@ def best_per_scenario(spark: SparkSession, d: str) -> DataFrame:
     return L.best(ledger(spark, d), ["scenario"])
 
 
+_STAGED = f"{_LED}, staged AS (SELECT *, CASE WHEN k <= 4 THEN 'Screening' ELSE ' Tuning ' END AS stage, CASE WHEN model = 'm3' THEN 'Failed' ELSE 'Completed' END AS status FROM led)"
+
+
+def staged(spark: SparkSession, d: str) -> DataFrame:
+    return ledger(spark, d).withColumn("stage", F.when(F.col("k") <= 4, "Screening").otherwise(" Tuning ")).withColumn("status", F.when(F.col("model") == "m3", "Failed").otherwise("Completed"))
+
+
+@query(f"WITH {_STAGED} SELECT * FROM staged WHERE trim(stage) = 'Tuning' AND status = 'Completed' QUALIFY row_number() OVER (PARTITION BY scenario, method ORDER BY accuracy DESC, f1 DESC, k, model) = 1")
+def best_tuned(spark: SparkSession, d: str) -> DataFrame:
+    return L.best(L.tuned(staged(spark, d)), ["scenario", "method"], ("k", "model"))
+
+
+@query(f"WITH {_LED} SELECT scenario, method, k, model, accuracy, CASE scenario WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS place FROM led QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY accuracy DESC, f1 DESC, k, method, model) = 1")
+def scenario_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = L.best(ledger(spark, d), ["scenario"]).select("scenario", "method", "k", "model", "accuracy")
+    return S.in_scenario_order(rows, ("R", "A", "N")).withColumn("place", F.col("place").cast("int"))
+
+
 @query(f"WITH {_LED} SELECT * EXCLUDE (scenario) FROM led ORDER BY accuracy DESC, f1 DESC, scenario, k, method, model LIMIT 1")
 def global_winner(spark: SparkSession, d: str) -> DataFrame:
     led = ledger(spark, d).withColumn("all", F.lit(1))

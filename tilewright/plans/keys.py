@@ -41,14 +41,32 @@ def split_normalize(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", K.split_name(raw).alias("split"))
 
 
-_PAIRS = "(0, '1', '1.0'), (1, ' 2', '2.7'), (2, 'A', ' a '), (3, 'x', 'y'), (4, NULL, NULL), (5, NULL, ''), (6, '3', 'three')"
+_PAIRS = "(0, '1', '1.0'), (1, ' 2', '2.7'), (2, 'A', ' a '), (3, 'x', 'y'), (4, NULL, NULL), (5, NULL, ''), (6, '3', 'three'), (7, '-1.5', '-1'), (8, '1.2', '1.9')"
 
 
-@query(f"""SELECT c_custkey, CASE c_custkey % 7 WHEN 3 THEN false WHEN 6 THEN false ELSE true END AS same FROM customer""")
+def _text_sql(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+_NUMBER_SQL = "CASE WHEN regexp_full_match({x}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN trunc(CAST({x} AS DOUBLE)) END"
+
+
+@query(f"""WITH p(k, a, b) AS (VALUES {_PAIRS}), t AS (SELECT k, {_text_sql('a')} AS x, {_text_sql('b')} AS y FROM p)
+SELECT c_custkey, coalesce({_NUMBER_SQL.format(x='x')} = {_NUMBER_SQL.format(x='y')}, x = y) AS same_label, lower(x) = lower(y) AS same_text FROM customer JOIN t ON k = c_custkey % 9""")
 def tolerant_equal(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 7).cast("int").alias("k"))
-    pairs = spark.sql(f"SELECT * FROM VALUES {_PAIRS} AS t(k, a, b)")
-    return c.join(F.broadcast(pairs), "k").select("c_custkey", K.tolerant_equal(F.col("a"), F.col("b")).alias("same"))
+    c = read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 9).cast("int").alias("k"))
+    pairs = spark.sql(f"SELECT * FROM VALUES {_PAIRS} AS t(k, a, b)")  # the nine rows above
+    return c.join(F.broadcast(pairs), "k").select("c_custkey", K.tolerant_equal(F.col("a"), F.col("b"), "label").alias("same_label"), K.tolerant_equal(F.col("a"), F.col("b"), "ClassName").alias("same_text"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Infinity' WHEN 2 THEN '-Infinity' ELSE 'finite' END AS value,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'x_True_' || o_orderstatus END AS label FROM orders""")
+def export_values(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    x = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k == 2, F.lit(float("-inf"))).otherwise(F.col("o_totalprice"))
+    name = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("True_"), "o_orderstatus")).otherwise(F.concat(F.lit("x_True_"), "o_orderstatus"))
+    safe = K.safe_text(x)
+    return read(spark, d, "orders").select("o_orderkey", F.when(safe.rlike("^[0-9]"), "finite").otherwise(safe).alias("value"), K.without_true(name).alias("label"))
 
 
 def group_file(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +118,7 @@ def transfer_split(spark: SparkSession, d: str) -> DataFrame:
     return M.transfer(_target(spark, d), _reference(spark, d), "FileName", "FileName", ["Split", "group_id"]).select("o_orderkey", "Split", "group_id", "matched")
 
 
-@query(f"WITH {_TR} SELECT o_orderkey, o_orderstatus AS target_value, label AS reference_value FROM hit WHERE c_custkey IS NOT NULL AND lower(trim(o_orderstatus)) <> lower(trim(label))")
+@query(f"WITH {_TR} SELECT o_orderkey, o_orderstatus AS target_value, label AS reference_value FROM hit WHERE c_custkey IS NOT NULL AND trim(o_orderstatus) <> trim(label)")
 def transfer_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return M.mismatches(_target(spark, d), _reference(spark, d), "FileName", "FileName", "label", "o_orderkey")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import preparation as P
 from ..operators import ranking as R
+from ..operators import selection as S
 from .base import longs, query, read, rounded
 
 
@@ -39,7 +40,7 @@ def prep_params(spark: SparkSession, d: str) -> DataFrame:
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
     rows = long_rows(spark, d)
-    return P.transform(rows, P.fit(rows))
+    return P.transform(rows, P.frozen(P.fit(rows)))
 
 
 @query(f"WITH {_LONG} SELECT row_id, feature, split, round(standard, 6) + 0.0::DOUBLE AS standard FROM prep")
@@ -57,7 +58,7 @@ def prep_clean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prepared(spark, d).select("row_id", "feature", "split", "clean"), 6, "clean")
 
 
-@query(f"WITH {_LONG} SELECT scenario, split, count(*) AS n_values, count(*) FILTER (was_missing) AS missing, count(*) FILTER (low) AS low, count(*) FILTER (high) AS high FROM prep GROUP BY 1, 2")
+@query(f"WITH {_LONG} SELECT scenario, split, count(*) AS n_values, count(*) FILTER (was_missing) AS missing, count(*) FILTER (clean IS NULL) AS missing_after, count(*) FILTER (low) AS low, count(*) FILTER (high) AS high FROM prep GROUP BY 1, 2")
 def prep_counts(spark: SparkSession, d: str) -> DataFrame:
     return P.counts(prepared(spark, d))
 
@@ -100,20 +101,27 @@ def rank_anova(spark: SparkSession, d: str) -> DataFrame:
     return longs(rounded(R.rank(_scored(R.anova(train(spark, d, "standard"))), "Fclass"), 6, "score"), "rank")
 
 
-@query()
+#: Upper tails as series: of the incomplete beta function, and of the incomplete gamma function.
+_F_TAIL = "sum(exp(lgamma(a + b + j) - lgamma(b) - lgamma(a + j + 1) + (a + j) * ln(x) + b * ln(1 - x)))"
+_CHI_TAIL = "1 - sum(exp((a + j) * ln(x) - x - lgamma(a + j + 1)))"
+
+
+@query(f"""WITH {_LONG}, {_F}, v AS (SELECT *, df2 / 2.0::DOUBLE AS a, df / 2.0::DOUBLE AS b, df2 / (df2 + df * score) AS x FROM anova)
+SELECT scenario, feature, pos, round(score, 6) + 0.0::DOUBLE AS score, df, CAST(df2 AS BIGINT) AS df2, round({_F_TAIL}, 7) + 0.0::DOUBLE AS p_value FROM v, range(20000) r(j) GROUP BY ALL""")
 def anova_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return R.p_values(R.anova(train(spark, d, "standard")), "f")
+    return longs(rounded(rounded(R.p_values(R.anova(train(spark, d, "standard")), "f"), 7, "p_value"), 6, "score"), "df", "df2")
 
 
-@query()
+@query(f"""WITH {_LONG}, {_CHI}, v AS (SELECT *, df / 2.0::DOUBLE AS a, score / 2.0::DOUBLE AS x FROM chi2)
+SELECT scenario, feature, pos, round(score, 6) + 0.0::DOUBLE AS score, df, round({_CHI_TAIL}, 7) + 0.0::DOUBLE AS p_value FROM v, range(2000) r(j) GROUP BY ALL""")
 def chi2_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return R.p_values(R.chi2(train(spark, d, "minmax")), "chi2")
+    return longs(rounded(rounded(R.p_values(R.chi2(train(spark, d, "minmax")), "chi2"), 7, "p_value"), 6, "score"), "df")
 
 
 _ALL = f"""{_LONG}, {_VAR}, {_CHI}, {_F}, every AS ({_rank('variance', 'Variance')} UNION ALL {_rank('chi2', 'Chi2')} UNION ALL {_rank('anova', 'Fclass')}
   UNION ALL SELECT DISTINCT scenario, 'AllMsr' AS method, feature, pos, 1.0 AS score, dense_rank() OVER (PARTITION BY scenario ORDER BY pos) AS rank FROM prep WHERE split = 'Train'),
 n AS (SELECT scenario, method, max(rank) AS n FROM every GROUP BY ALL),
-ks AS (SELECT DISTINCT scenario, method, least(k, n) AS k FROM n, unnest([25, 50, 75, 100, 125, 150, 175, 200, 225]) t(k) UNION SELECT scenario, method, n FROM n),
+ks AS (SELECT DISTINCT scenario, method, least(k, n) AS k FROM n, unnest({list(R.K_VALUES)}) t(k) UNION SELECT scenario, method, n FROM n),
 lists AS (SELECT scenario, method, k, rank, feature FROM every JOIN ks USING (scenario, method) WHERE rank <= k)"""
 
 
@@ -130,6 +138,16 @@ def topk_lists(spark: SparkSession, d: str) -> DataFrame:
     return longs(_lists(spark, d), "k", "rank")
 
 
+@query(f"""WITH {_ALL} SELECT DISTINCT method, CAST(k AS BIGINT) AS k FROM lists WHERE method <> 'AllMsr' AND k IN (25, 50) UNION SELECT method, CAST(max(k) AS BIGINT) FROM lists WHERE method = 'AllMsr' GROUP BY 1""")
+def selection_discover(spark: SparkSession, d: str) -> DataFrame:
+    return longs(S.discover(_lists(spark, d), (25, 50)), "k")
+
+
+@query(f"WITH {_ALL} SELECT rank, feature FROM lists WHERE method = 'Fclass' AND k = 25")
+def selection_features(spark: SparkSession, d: str) -> DataFrame:
+    return longs(S.list_features(_lists(spark, d), "All", "Fclass", 25), "rank")
+
+
 @query(f"""WITH {_ALL}, s AS (SELECT scenario, k, method, list(feature) AS l FROM lists GROUP BY ALL)
 SELECT a.scenario, CAST(a.k AS BIGINT) AS k, a.method AS method_a, b.method AS method_b, CAST(len(list_intersect(a.l, b.l)) AS BIGINT) AS common,
   round(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))), 6) + 0.0::DOUBLE AS jaccard FROM s a JOIN s b ON a.scenario = b.scenario AND a.k = b.k AND a.method < b.method""")

@@ -6,33 +6,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators.matching import ContractError
 from ..shipping import ship
 
+#: What is read as an image, and the sides, channels and measures of tiles.
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff")
 TILE_SIDES = (32, 64, 128, 256)
 CHANNELS = ("B", "G", "R")
 MEASURES = ("range", "variance", "std", "mad", "Q1", "Q3", "IQR", "cv")
 
 
-def list_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """(path, length, content) of the files below root whose extension matches in any case, sorted by path; content is read only where used."""
+def _extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+
+
+def _files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return files.where(ext.isin(*(e.lower() for e in extensions))).select("path", "length", "content").orderBy("path")
+    return files.where(_extension(F.col("path")).isin(*(e.lower() for e in extensions)))
+
+
+def list_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(path, length) of the files below root whose extension matches in any case, sorted by path. No file is opened."""
+    return _files(spark, root, extensions).select("path", "length").orderBy("path")
 
 
 def file_hashes(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    return list_images(spark, root, extensions).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256), in no order: contents stay in the task that reads them."""
+    return _files(spark, root, extensions).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """(path, height, width, channels, data): 8-bit B, G, R rows. A file that can't be decoded has height -1."""
-    return spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").toDF("path", "height", "width", "channels", "data")
+def read_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(path, height, width, channels, data): 8-bit B, G, R rows of the files whose extension matches. One that can't be decoded has height -1."""
+    rows = spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").toDF("path", "height", "width", "channels", "data")
+    return rows.where(_extension(F.col("path")).isin(*(e.lower() for e in extensions)))
 
 
 def tile_names(n_tiles: int) -> list[str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +40,15 @@ def unique_header(columns: list[str]) -> list[str]:
     return names
 
 
-def read_table(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """All CSV columns are text: features are coerced by the audit and the preparation, not by a guess of the reader. Workbooks need pandas with an Excel engine and are read on the driver."""
+def read_table(spark: SparkSession, path: str, sheet: str | int = 0, multiline: bool = False) -> DataFrame:
+    """All CSV columns are text: features are coerced by the audit and the preparation, not by a guess of the reader. With multiline, values may hold newlines, and each CSV file is one task. Workbooks need pandas with an Excel engine and are read on the driver."""
     low = path.lower()
     if low.endswith((".xlsx", ".xlsm", ".xls")):
         import pandas as pd
 
         df = spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, dtype=str))
     elif low.endswith((".csv", ".csv.gz")):
-        df = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=not low.endswith(".gz"))
+        df = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=multiline)
         first = df.columns[0] if df.columns else ""
         if first.startswith("﻿"):
             df = df.withColumnRenamed(first, first.lstrip("﻿"))
@@ -57,12 +58,16 @@ def read_table(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFram
     return df.toDF(*(c.strip() for c in df.columns))
 
 
-def write_table(df: DataFrame, path: str) -> str:
-    """Format by suffix: .parquet, .csv or .csv.gz."""
-    w = df.write.mode("overwrite")
-    if path.endswith(".csv.gz"):
+def suffix_of(path: str) -> str:
+    return next((s for s in SUFFIXES if path.lower().endswith(s)), "")
+
+
+def write_table(df: DataFrame, path: str, order_by: str | None = None) -> str:
+    """Format by suffix: .parquet, .csv or .csv.gz. With order_by, files in that order, as when rows get back their first order."""
+    w = (df.orderBy(order_by) if order_by else df).write.mode("overwrite")
+    if suffix_of(path) == ".csv.gz":
         w.csv(path, header=True, compression="gzip")
-    elif path.endswith(".csv"):
+    elif suffix_of(path) == ".csv":
         w.csv(path, header=True)
     else:
         w.parquet(path)
@@ -82,18 +87,46 @@ def load_part(spark: SparkSession, path: str, scenario: str, variant: str, split
     return spark.read.parquet(path).where((F.col("scenario") == scenario) & (F.col("variant") == variant) & (F.col("split") == split))
 
 
-def replace_atomically(df: DataFrame, path: str) -> None:
-    """Written beside path, then renamed: a reader sees the old table or the new one."""
-    spark = df.sparkSession
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    write_table(df, new + (".csv" if path.endswith(".csv") else ""))
-    new += ".csv" if path.endswith(".csv") else ""
-    p, fs = _fs(spark, path)
+def require_shape(rows: DataFrame, names: list[str], metadata: DataFrame | None = None, features: str = "features") -> None:
+    """As many features in each row as names, no name twice, and as many rows as the metadata has."""
+    if len(set(names)) < len(names):
+        raise ContractError("repeated feature names")
+    if rows.where(F.col(features).isNull() | (F.size(features) != len(names))).head(1):
+        raise ContractError(f"rows with other than {len(names)} features")
+    if metadata is not None and (n := rows.count()) != (m := metadata.count()):
+        raise ContractError(f"{n} rows of features and {m} of metadata")
+
+
+def require_files(spark: SparkSession, paths: list[str]) -> None:
+    """What a locked evaluation reads is all there."""
+    if missing := [p for p in paths if not exists(spark, p)]:
+        raise ContractError(f"missing: {missing}")
+
+
+def replace_atomically(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None) -> None:
+    """Written whole beside path, read back, checked, then renamed: what check refuses (by raising) never reaches path.
+
+    Between the two renames there is no table for a moment: a reader that
+    finds none must look again. A failed second rename puts the old one back.
+    """
+    spark, end, mark = df.sparkSession, suffix_of(path), uuid.uuid4().hex
+    bare = path[: len(path) - len(end)]
+    new, old = f"{bare}.new-{mark}{end}", f"{bare}.old-{mark}{end}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(p):
-        fs.rename(p, hadoop(old))
-    if not fs.rename(hadoop(new), p):
-        raise OSError(f"can't rename {new}")
+    p, fs = _fs(spark, path)
+    write_table(df, new)
+    try:
+        if check:
+            check(read_table(spark, new))
+        had = fs.exists(p)
+        if had and not fs.rename(p, hadoop(old)):
+            raise OSError(f"can't rename {path}")
+        if not fs.rename(hadoop(new), p):
+            if had:
+                fs.rename(hadoop(old), p)
+            raise OSError(f"can't rename {new}")
+    finally:
+        fs.delete(hadoop(new), True)
     fs.delete(hadoop(old), True)
 
 
