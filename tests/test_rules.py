@@ -422,3 +422,37 @@ def test_shapes_files_and_names(spark, tmp_path):
     names = spark.createDataFrame([("A.png", "x"), ("b.png", "y"), ("B.PNG", "z")], "FileName string, ClassName string")
     got = matching.with_names(spark.createDataFrame([("a.png",), ("b.png",), (None,)], "FileName string"), names, "FileName", "ClassName")
     assert {x["FileName"]: x["ClassName"] for x in got.collect()} == {"a.png": "x", "b.png": None, None: None}
+
+
+def test_a_forest_is_grown_until_its_leaves_are_pure(spark):
+    """200 values whose classes alternate: Spark's 32 bins can't tell them apart."""
+    rows = spark.createDataFrame([(i, [float(i), 0.0], "ab"[i % 2]) for i in range(200)], "row_id int, features array<double>, label string")
+    model = models.fit_forest(rows, trees=40, subset="all")
+    assert models.predict(model, rows).where("label = predicted").count() >= 190
+    assert models.importances(model) == pytest.approx([1.0, 0.0])
+    a, b = (models.predict(models.fit_forest(x, trees=5, subset="all"), rows).orderBy("row_id").collect() for x in (rows, rows.repartition(7)))
+    assert a == b
+
+
+def test_a_tree_takes_the_best_split():
+    from tilewright.operators import forest
+
+    r = np.random.default_rng(3)
+    for leaf in (1, 5):
+        x, y, w = r.integers(0, 9, (60, 4)).astype(np.uint8), r.integers(0, 3, 60), r.random(60) + 0.5
+        count = r.poisson(1.0, 60)
+
+        def loss(at):
+            t = np.bincount(y[at], (w * count)[at], 3)
+            return (t**2).sum() / max(t.sum(), 1e-300)
+
+        found = {(f, c): loss(x[:, f] <= c) + loss(x[:, f] > c) for f in range(4) for c in range(9) if min(count[x[:, f] <= c].sum(), count[x[:, f] > c].sum()) >= leaf}
+        tree, gain = forest.grow(x, y, w, count, 3, 4, 1, leaf, r)
+        assert found[int(tree[0][0]), int(tree[1][0])] == pytest.approx(max(found.values()))
+        assert gain.sum() == pytest.approx(max(found.values()) - loss(np.full(60, True)))
+        s = forest.scores(forest.grow(x, y, w, count, 3, 4, None, 1, r)[0], x, 3)
+        same = {tuple(v) for v in x[count > 0].tolist()}
+        for v in same:
+            at = (x == v).all(axis=1) & (count > 0)
+            if len(set(y[at])) == 1:
+                assert s[at].argmax(axis=1).tolist() == y[at].tolist()
