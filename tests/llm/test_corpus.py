@@ -111,6 +111,21 @@ def test_near_duplicates_in_a_crowd_by_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("percent, crowd", [(80, 4), (80, 512), (40, 2)])
+def test_no_crowd_is_left_out(spark, monkeypatch, percent, crowd):
+    """Sets of a few blocks, so that many share each of their rarest shingles."""
+    monkeypatch.setattr(minhash_forest, "CROWD", crowd)
+    r = random.Random(31)
+    universe = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 40)
+    sets = {i: sorted({int(universe[k]) for k in (range(25 * (i % 3 > 0)), r.sample(range(25, 40), r.randint(1, 12))) for k in k}) for i in range(90)}
+    comp = {i: i if i % 5 else 0 for i in sets}
+    dense = spark.createDataFrame([(i, comp[i], s) for i, s in sets.items()], "id long, comp long, shingles array<long>")
+    want = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and sets[a] != sets[b] and 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})}
+    space = Scratch(spark, "crowd")
+    got = {(x["a"], x["b"]) for x in minhash_forest.dense_pairs(dense, percent, space).collect()}
+    assert len(want) > 100 and want <= got
+
+
 def test_alike_sets_share_one_of_their_rarest():
     r = random.Random(8)
     for _ in range(300):

@@ -26,6 +26,9 @@ agree enough are confirmed on full shingle sets.
    percent) among the rarest fifth of the other's. Documents of different
    components that share such a shingle are confirmed. Rarity is by counts of
    hash buckets; it decides how many pairs there are, not whether one is found.
+   Where a crowd has the same rare shingle, documents must share the next of
+   their common ones as well, within a prefix longer by one: all pairs of those
+   that do are confirmed, however many they are.
 """
 
 from __future__ import annotations
@@ -51,8 +54,8 @@ SLACK = 0.15
 CROWDED = 5
 #: Buckets in which shingles of dense documents are counted.
 BUCKETS = 1 << 16
-#: Of a rare shingle that so many documents of several components have, the pairs aren't all formed.
-CROWD = 512
+#: Documents that share a rare shingle with more than so many others are told apart by the next shingle that they share, up to so many shingles.
+CROWD, LEVELS = 512, 2
 #: An id with more than one in so many of all pairs is a hub, joined in so many parts.
 HUB_SHARE, SALTS = 1024, 16
 #: Rounds in which each document has one candidate confirmed, before all that are left.
@@ -272,39 +275,63 @@ def rarest(n: int, percent: int) -> tuple[int, int]:
 
 
 def _rarest(counts: np.ndarray, percent: int):
-    """(id, comp, shingles) -> (shingle, id, comp, n, place, short): the rarest shingles; short says whether one is among those that a larger set must share."""
+    """(id, comp, shingles) -> (id, comp, n, few, most, rare): the rarest shingles in order, LEVELS - 1 beyond the most that an alike smaller set may need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            sizes, kept = [], []
             for i in range(batch.num_rows):
                 s = batch.column(2)[i].values.to_numpy()
                 few, most = rarest(len(s), percent)
-                s = s[np.lexsort((s, counts[_bucket(s)]))][:most]
-                place = np.arange(len(s))
-                for own, x in zip(out, (s, np.full(len(s), batch.column(0)[i].as_py()), np.full(len(s), batch.column(1)[i].as_py()), np.full(len(s), len(batch.column(2)[i])), place, place < few)):
-                    own.append(x)
+                sizes.append((len(s), few, most))
+                kept.append(s[np.lexsort((s, counts[_bucket(s)]))][: most + LEVELS - 1])
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["shingle", "id", "comp", "n", "place", "short"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in zip(*sizes)), pa.array(kept, pa.list_(pa.int64()))], names=["id", "comp", "n", "few", "most", "rare"])
 
     return run
 
 
+def _meetings(rows: DataFrame, level: int, percent: int, by_component: bool = False) -> DataFrame:
+    """rows(key, id, comp, n, place, short), where a key stands for shared shingles of which the last, the level-th, is at `place` -> (a, b) of different components and one key that may be alike enough if those are the first that they share.
+
+    by_component: rows meet the components of their key first, so those of one component aren't paired.
+    """
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "place", "short"))) for s in "xy")
+    x = x.where("short_x")
+    if by_component:
+        x = x.join(rows.select("key", F.col("comp").alias("comp_y")).distinct(), "key").where("comp_x != comp_y")
+    # x is the smaller; what a pair shares lies from its last named shingle on, but for those named before
+    both = x.join(y, ["key", "comp_y"] if by_component else "key").where("comp_x != comp_y and (n_x < n_y or (n_x = n_y and id_x < id_y))")
+    share = f"({level - 1} + least(n_x - place_x, n_y - place_y)) * {100 + percent} >= {percent} * (n_x + n_y)"
+    sizes = f"least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent}"
+    return both.where(share).where(sizes).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+
+
 def dense_pairs(dense: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """dense(id, comp, shingles) -> (a, b): all pairs of different components that may be alike enough."""
     counts = np.zeros(BUCKETS, np.int64)
     # at most BUCKETS rows
     for r in dense.select("shingles").mapInArrow(W.tidied(_count_buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["bucket"]] = r["n"]
-    rare = scratch.table("rare", dense.select("id", "comp", "shingles").mapInArrow(W.tidied(_rarest(counts, percent)), "shingle long, id long, comp long, n long, place long, short boolean"))
-    met = rare.groupBy("shingle").agg(F.count_if("short").alias("few"), F.count("*").alias("most"), F.min("comp").alias("x"), F.max("comp").alias("y")).where(f"x != y and few > 0 and most <= {CROWD}").select("shingle")
-    near = scratch.table("met", rare.join(met, "shingle"))
-    x, y = (near.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "place", "short"))) for s in "xy")
-    # x is the smaller; what a pair shares lies from its first common shingle on
-    both = x.where("short_x").join(y, "shingle").where("comp_x != comp_y and (n_x < n_y or (n_x = n_y and id_x < id_y))")
-    share = f"least(n_x - place_x, n_y - place_y) * {100 + percent} >= {percent} * (n_x + n_y)"
-    sizes = f"least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent}"
-    return both.where(share).where(sizes).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    order = scratch.table("rare", dense.select("id", "comp", "shingles").mapInArrow(W.tidied(_rarest(counts, percent)), "id long, comp long, n long, few long, most long, rare array<long>"))
+    rows = order.select("id", "comp", "n", "few", "most", F.posexplode("rare").alias("place", "key")).where("place < most").selectExpr("key", "id", "comp", "n", "place", "place < few as short")
+    found = None
+    for level in range(1, LEVELS + 1):
+        met = rows.groupBy("key").agg(F.count_if("short").alias("few"), F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y and few > 0").select("key", "size")
+        near = scratch.table(f"met{level}", rows.join(met, "key"))
+        crowd = near.where(f"size > {CROWD}")
+        own = _meetings(near.where(f"size <= {CROWD}"), level, percent)
+        found = own if found is None else found.unionByName(own)
+        if not crowd.head(1):
+            break
+        # sets so small that they need share no more
+        last = crowd if level == LEVELS else crowd.where(f"n * {percent} <= {100 * level}")
+        found = found.unionByName(_meetings(last, level, percent, True))
+        ends = F.least(F.size("rare"), F.col("most") + level)
+        after = crowd.select("key", "id", "comp", "n", "place", "short").join(order.select("id", "few", "most", "rare"), "id").where(F.col("place") + 1 < ends)
+        after = after.withColumn("next", F.explode(F.sequence(F.col("place") + 1, (ends - 1).cast("int"))))
+        rows = after.select(F.xxhash64("key", F.element_at("rare", F.col("next") + 1)).alias("key"), "id", "comp", "n", F.col("next").alias("place"), (F.col("short") & (F.col("next") < F.col("few") + level)).alias("short"))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -375,7 +402,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").where("component is not null or last != id")
     named = scratch.table("named", named.select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component")))
-    scratch.drop("sets", "cand", "near1", "near2", "ends", "classes", "crowded", "rare", "met", *(f"{x}{k}" for x in ("open", "tried", "links", "comp", "pairs") for k in (*range(ROUNDS), "last", "dense")))
+    scratch.drop("sets", "cand", "near1", "near2", "ends", "classes", "crowded", "rare", *(f"met{k}" for k in range(1, LEVELS + 1)), *(f"{x}{k}" for x in ("open", "tried", "links", "comp", "pairs") for k in (*range(ROUNDS), "last", "dense")))
     out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
