@@ -456,3 +456,15 @@ def test_a_tree_takes_the_best_split():
             at = (x == v).all(axis=1) & (count > 0)
             if len(set(y[at])) == 1:
                 assert s[at].argmax(axis=1).tolist() == y[at].tolist()
+
+
+@pytest.mark.parametrize("params", [("rbf", 10.0), ("poly", 1.0, 3, 0.0), ("poly", 10.0, 2, 1.0)])
+def test_more_rows_than_a_kernel_matrix_may_have(monkeypatch, params):
+    r = np.random.default_rng(12)
+    x, y = r.normal(size=(300, 8)), r.integers(0, 4, 300).astype(str)
+    whole = models.KernelMachine(x, y, *params)
+    monkeypatch.setattr(models, "MOST_ROWS", 100)
+    monkeypatch.setattr(models, "BLOCK_CELLS", 300 * 77)
+    blocks = models.KernelMachine(x, y, *params)
+    assert np.abs(blocks.scores(x[:150]) - whole.scores(x[:150])).max() < 1e-6
+    assert len(models.DenseNet(x, y, x, y, epochs=1).history) == 1
