@@ -126,6 +126,34 @@ def test_no_crowd_is_left_out(spark, monkeypatch, percent, crowd):
     assert len(want) > 100 and want <= got
 
 
+def test_a_crowd_makes_few_pairs(spark):
+    """A template's pages, of which most are one component: only pairs that may be alike enough become rows."""
+    r = random.Random(12)
+    universe = np.random.default_rng(9).integers(-(1 << 62), 1 << 62, 4000).tolist()
+    template, other = universe[:150], universe[150:]
+    sets = {i: sorted({*r.sample(template, 144)} if i % 6 else {*r.sample(template, 120), *r.sample(other, 12)}) for i in range(900)}
+    sets[900] = sorted({*sets[6][:-3], *other[3000:3003]})
+    comp = {i: i if i % 6 == 0 else 1 for i in sets}
+    dense = spark.createDataFrame([(i, comp[i], s) for i, s in sets.items()], "id long, comp long, shingles array<long>")
+    own = {i: {*s} for i, s in sets.items()}
+    want = {(a, b) for a in own for b in own if a < b and comp[a] != comp[b] and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
+    got = [(x["a"], x["b"]) for x in minhash_forest.dense_pairs(dense, 80, Scratch(spark, "few")).collect()]
+    assert (6, 900) in want and want <= set(got)
+    assert len(got) == len(set(got)) < 3000  # of about 120,000
+
+
+def test_parities_differ_in_no_more_bits_than_sets():
+    r = random.Random(3)
+    universe = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 3000).tolist()
+    for n in (1, 5, 100, 127, 128, 129, 300, 2600):
+        a = r.sample(universe, n)
+        b = [*a[n // 10 :], *r.sample(universe, n // 12)]
+        x, y = (np.frombuffer(minhash_forest.parities(np.array(sorted({*s}), np.int64)), np.uint64)[None] for s in (a, b))
+        words = min(x.shape[1], y.shape[1])
+        apart = int(np.bitwise_count(minhash_forest._folded(x, words) ^ minhash_forest._folded(y, words)).sum())
+        assert apart <= len({*a} ^ {*b}) and apart % 2 == len({*a} ^ {*b}) % 2
+
+
 def test_alike_sets_share_one_of_their_rarest():
     r = random.Random(8)
     for _ in range(300):

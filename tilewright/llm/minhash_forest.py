@@ -26,9 +26,11 @@ agree enough are confirmed on full shingle sets.
    percent) among the rarest fifth of the other's. Documents of different
    components that share such a shingle are confirmed. Rarity is by counts of
    hash buckets; it decides how many pairs there are, not whether one is found.
-   Where a crowd has the same rare shingle, documents must share the next of
-   their common ones as well, within a prefix longer by one: all pairs of those
-   that do are confirmed, however many they are.
+   Documents of one shingle are compared within tasks, a crowd's in parts, by
+   sketches whose bits are the parities of the shingles that fall on them: two
+   sketches differ in no more bits than the sets in shingles, so a pair that
+   differs in too many can be left out without a look at its sets. No other
+   pair is left out, and pairs that are left out never become rows.
 """
 
 from __future__ import annotations
@@ -54,8 +56,12 @@ SLACK = 0.15
 CROWDED = 5
 #: Buckets in which shingles of dense documents are counted.
 BUCKETS = 1 << 16
-#: Documents that share a rare shingle with more than so many others are told apart by the next shingle that they share, up to so many shingles.
-CROWD, LEVELS = 512, 2
+#: Documents that share a rare shingle are dealt to tasks in parts of about so many, at most SALTS parts.
+CROWD = 512
+#: Bits of a parity sketch: about so many a shingle, within these bounds.
+PARITY_BITS, LEAST_BITS, MOST_BITS = 4, 512, 8192
+#: Pairs of sketches that are compared at once.
+AT_ONCE = 1 << 16
 #: An id with more than one in so many of all pairs is a hub, joined in so many parts.
 HUB_SHARE, SALTS = 1024, 16
 #: Rounds in which each document has one candidate confirmed, before all that are left.
@@ -274,37 +280,122 @@ def rarest(n: int, percent: int) -> tuple[int, int]:
     return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Of each bit, whether an odd number of shingles falls on it. The halves of a sketch, one xor the other, are the sketch of half as many bits."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (PARITY_BITS * len(shingles) - 1).bit_length()))
+    at = (shingles.view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _rarest(counts: np.ndarray, percent: int):
-    """(id, comp, shingles) -> (id, comp, n, few, most, rare): the rarest shingles in order, LEVELS - 1 beyond the most that an alike smaller set may need."""
+    """(id, comp, shingles) -> (id, comp, n, few, rare, bits): the rarest shingles in order, the most that an alike smaller set may need, and the parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, kept = [], []
+            sizes, kept, bits = [], [], []
             for i in range(batch.num_rows):
                 s = batch.column(2)[i].values.to_numpy()
                 few, most = rarest(len(s), percent)
-                sizes.append((len(s), few, most))
-                kept.append(s[np.lexsort((s, counts[_bucket(s)]))][: most + LEVELS - 1])
+                sizes.append((len(s), few))
+                kept.append(s[np.lexsort((s, counts[_bucket(s)]))][:most])
+                bits.append(parities(s))
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in zip(*sizes)), pa.array(kept, pa.list_(pa.int64()))], names=["id", "comp", "n", "few", "most", "rare"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in zip(*sizes)), pa.array(kept, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "comp", "n", "few", "rare", "bits"])
 
     return run
 
 
-def _meetings(rows: DataFrame, level: int, percent: int, by_component: bool = False) -> DataFrame:
-    """rows(key, id, comp, n, place, short), where a key stands for shared shingles of which the last, the level-th, is at `place` -> (a, b) of different components and one key that may be alike enough if those are the first that they share.
+_ROW = ("id", "comp", "n", "place", "short", "home")
+
+
+def _by_width(f: dict) -> dict[int, dict]:
+    """Rows by the bytes of their sketches, these as words in a matrix."""
+    size = np.array([len(x) for x in f["bits"]])
+    out = {}
+    for w in np.unique(size).tolist():
+        at = np.flatnonzero(size == w)
+        out[w] = {c: f[c][at] for c in _ROW} | {"bits": np.frombuffer(b"".join([f["bits"][i] for i in at]), np.uint64).reshape(len(at), w // 8)}
+    return out
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _alike_parities(x: dict, y: dict, percent: int, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs in ok (rows of x by rows of y), those that may be alike enough if their key is the first shingle that they share."""
+    n, m = x["n"][:, None], y["n"][None, :]
+    ok = ok & (x["comp"][:, None] != y["comp"][None, :]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+    # the smaller has the key among its rarest, and what the two share lies from there on
+    less = (n < m) | ((n == m) & (x["id"][:, None] < y["id"][None, :]))
+    ok &= np.where(less, x["short"][:, None], y["short"][None, :])
+    ok &= np.minimum(n - x["place"][:, None], m - y["place"][None, :]) * (100 + percent) >= percent * (n + m)
+    i, j = np.nonzero(ok)
+    if not len(i):
+        return i, j
+    words = min(x["bits"].shape[1], y["bits"].shape[1])
+    p, q = _folded(x["bits"], words), _folded(y["bits"], words)
+    near = np.empty(len(i), bool)
+    step = max(1, AT_ONCE * 16 // words)
+    for a in range(0, len(i), step):
+        u, v = i[a : a + step], j[a : a + step]
+        apart = np.bitwise_count(p[u] ^ q[v]).sum(axis=1, dtype=np.int64)
+        near[a : a + step] = apart * (100 + percent) <= (x["n"][u] + y["n"][v]) * (100 - percent)
+    return i[near], j[near]
+
+
+def _meet(percent: int):
+    """Rows sorted by key, part and role -> (a, b): pairs of a part. Rows of role 0 meet each other (once in all parts: where the larger id is at home) and all rows of role 1."""
+
+    def pairs(x: dict[int, dict], y: dict[int, dict], among: bool) -> Iterator[pa.RecordBatch]:
+        for w, p in x.items():
+            for v, q in y.items():
+                if max(w, v) * percent > min(w, v) * 200:
+                    continue  # sizes are too far apart
+                step = max(1, AT_ONCE * 16 // len(q["id"]))
+                for a in range(0, len(p["id"]), step):
+                    part = {c: z[a : a + step] for c, z in p.items()}
+                    ok = (part["id"][:, None] < q["id"][None, :]) & q["home"][None, :] if among else np.ones((len(part["id"]), len(q["id"])), bool)
+                    i, j = _alike_parities(part, q, percent, ok)
+                    if len(i):
+                        one, two = part["id"][i], q["id"][j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
-    by_component: rows meet the components of their key first, so those of one component aren't paired.
-    """
-    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "place", "short"))) for s in "xy")
-    x = x.where("short_x")
-    if by_component:
-        x = x.join(rows.select("key", F.col("comp").alias("comp_y")).distinct(), "key").where("comp_x != comp_y")
-    # x is the smaller; what a pair shares lies from its last named shingle on, but for those named before
-    both = x.join(y, ["key", "comp_y"] if by_component else "key").where("comp_x != comp_y and (n_x < n_y or (n_x = n_y and id_x < id_y))")
-    share = f"({level - 1} + least(n_x - place_x, n_y - place_y)) * {100 + percent} >= {percent} * (n_x + n_y)"
-    sizes = f"least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent}"
-    return both.where(share).where(sizes).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, waiting = None, {}, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            """The rows of role 0 are complete."""
+            nonlocal held
+            if waiting:
+                held = _by_width({c: np.concatenate([f[c] for f in waiting]) for c in (*_ROW, "bits")})
+                waiting.clear()
+                yield from pairs(held, held, True)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            f = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*_ROW, "key", "part", "role")}
+            f["bits"] = np.array(batch.column("bits").to_pylist() + [None], object)[:-1]
+            new = np.append(True, (f["key"][1:] != f["key"][:-1]) | (f["part"][1:] != f["part"][:-1]) | (f["role"][1:] != f["role"][:-1]))
+            begin = np.flatnonzero(new)
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), batch.num_rows]):
+                key = (f["key"][a], f["part"][a])
+                if key != now:
+                    yield from settle()
+                    now, held = key, {}
+                rows = {c: f[c][a:b] for c in (*_ROW, "bits")}
+                if f["role"][a] == 0:
+                    waiting.append(rows)
+                else:
+                    yield from settle()
+                    yield from pairs(_by_width(rows), held, False)
+        yield from settle()
+
+    return run
 
 
 def dense_pairs(dense: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -313,25 +404,18 @@ def dense_pairs(dense: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     # at most BUCKETS rows
     for r in dense.select("shingles").mapInArrow(W.tidied(_count_buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["bucket"]] = r["n"]
-    order = scratch.table("rare", dense.select("id", "comp", "shingles").mapInArrow(W.tidied(_rarest(counts, percent)), "id long, comp long, n long, few long, most long, rare array<long>"))
-    rows = order.select("id", "comp", "n", "few", "most", F.posexplode("rare").alias("place", "key")).where("place < most").selectExpr("key", "id", "comp", "n", "place", "place < few as short")
-    found = None
-    for level in range(1, LEVELS + 1):
-        met = rows.groupBy("key").agg(F.count_if("short").alias("few"), F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y and few > 0").select("key", "size")
-        near = scratch.table(f"met{level}", rows.join(met, "key"))
-        crowd = near.where(f"size > {CROWD}")
-        own = _meetings(near.where(f"size <= {CROWD}"), level, percent)
-        found = own if found is None else found.unionByName(own)
-        if not crowd.head(1):
-            break
-        # sets so small that they need share no more
-        last = crowd if level == LEVELS else crowd.where(f"n * {percent} <= {100 * level}")
-        found = found.unionByName(_meetings(last, level, percent, True))
-        ends = F.least(F.size("rare"), F.col("most") + level)
-        after = crowd.select("key", "id", "comp", "n", "place", "short").join(order.select("id", "few", "most", "rare"), "id").where(F.col("place") + 1 < ends)
-        after = after.withColumn("next", F.explode(F.sequence(F.col("place") + 1, (ends - 1).cast("int"))))
-        rows = after.select(F.xxhash64("key", F.element_at("rare", F.col("next") + 1)).alias("key"), "id", "comp", "n", F.col("next").alias("place"), (F.col("short") & (F.col("next") < F.col("few") + level)).alias("short"))
-    return found.distinct()
+    order = scratch.table("rare", dense.select("id", "comp", "shingles").mapInArrow(W.tidied(_rarest(counts, percent)), "id long, comp long, n long, few long, rare array<long>, bits binary"))
+    rows = order.select("id", "comp", "few", F.posexplode("rare").alias("place", "key")).selectExpr("key", "id", "comp", "place", "place < few as short")
+    # a key's largest component needn't be compared with itself: the others are dealt to all parts of the key, its own documents to one
+    own = rows.groupBy("key", "comp").agg(F.count("*").alias("size"), F.count_if("short").alias("few"))
+    keys = own.groupBy("key").agg(F.sum("size").alias("size"), F.sum("few").alias("few"), F.count("*").alias("comps"), F.max(F.struct("size", "comp")).alias("top"))
+    keys = scratch.table("met", keys.where("comps > 1 and few > 0").select("key", F.col("top.comp").alias("top"), F.least(F.lit(SALTS), F.ceil(F.col("size") / CROWD)).cast("int").alias("parts")))
+    near = rows.join(keys, "key").select("key", "id", "place", "short", "parts", F.when(F.col("comp") == F.col("top"), 1).otherwise(0).alias("role"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("at"))
+    near = near.join(order.select("id", "comp", "n", "bits"), "id")
+    dealt = near.withColumn("part", F.explode(F.when(F.col("role") == 1, F.array("at")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).withColumn("home", F.col("part") == F.col("at"))
+    dealt = dealt.select("key", "part", "role", "id", "comp", "n", F.col("place").cast("long").alias("place"), "short", "home", "bits")
+    met = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "role")
+    return met.mapInArrow(W.tidied(_meet(percent)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -402,7 +486,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").where("component is not null or last != id")
     named = scratch.table("named", named.select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component")))
-    scratch.drop("sets", "cand", "near1", "near2", "ends", "classes", "crowded", "rare", *(f"met{k}" for k in range(1, LEVELS + 1)), *(f"{x}{k}" for x in ("open", "tried", "links", "comp", "pairs") for k in (*range(ROUNDS), "last", "dense")))
+    scratch.drop("sets", "cand", "near1", "near2", "ends", "classes", "crowded", "rare", "met", *(f"{x}{k}" for x in ("open", "tried", "links", "comp", "pairs") for k in (*range(ROUNDS), "last", "dense")))
     out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
