@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, compact_windows, hyperlang, lp_packing, minhash_forest, ogg_media, queries, repair_tokens, simhash_windows, url_rules
+from tilewright.llm import bpe, compact_windows, components, hyperlang, lp_packing, minhash_forest, ogg_media, queries, repair_tokens, simhash_windows, url_rules
 from tilewright.llm import additive_quality as quality
 from tilewright.llm import chat_format as chat
 from tilewright.llm import words as W
@@ -177,6 +177,32 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, 99: 99, 100: 99, 200: 200, 201: 200}
 
 
+@pytest.mark.parametrize("one_task", [0, 1 << 19])
+def test_components_by_brute_force(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    r = random.Random(one_task)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)]
+    want = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in want:
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    edges = spark.createDataFrame([*pairs, (None, 3), (4, None)], "a long, b long")
+    got = connected_components(edges, Scratch(spark, "t"), "cc").collect()
+    assert len(got) == len(want) and {x["node"]: x["component"] for x in got} == want
+
+
+def test_few_edges_take_few_jobs(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    sc = spark.sparkContext
+    sc.setJobGroup("few-edges", "")
+    try:
+        assert connected_components(edges, Scratch(spark, "t"), "cc").count() == 41
+        assert len(sc.statusTracker().getJobIdsForGroup("few-edges")) < 8
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_benchmark_leaks(spark):
     r = random.Random(9)
     items = [(k, " ".join(words(r, r.randint(15, 60)))) for k in range(30)]

@@ -237,10 +237,14 @@ def candidates(reps: DataFrame, percent: int, scratch: Scratch, name: str, best_
     return found.where("edge != 1").unionByName(across).select("a", "b", "est", "edge")
 
 
-def _hubs(pairs: DataFrame, end: str, total: int) -> list[int]:
-    """Ids with a large share of all pairs: fewer than HUB_SHARE."""
-    size = pairs.groupBy(end).agg(F.count("*").alias("n"))
-    return [r[end] for r in size.where(F.col("n") > max(64, total // HUB_SHARE)).select(end).collect()]
+def _hubs(pairs: DataFrame) -> tuple[list[int], list[int]]:
+    """Of each end, ids with a large share of all pairs: fewer than HUB_SHARE."""
+    total = pairs.count()
+    if total <= 64:
+        return [], []
+    size = pairs.select(F.posexplode(F.array("a", "b")).alias("end", "id")).groupBy("end", "id").agg(F.count("*").alias("n"))
+    found = size.where(F.col("n") > max(64, total // HUB_SHARE)).select("end", "id").collect()
+    return [r["id"] for r in found if r["end"] == 0], [r["id"] for r in found if r["end"] == 1]
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, hubs: list[int]) -> DataFrame:
@@ -255,8 +259,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, hubs: list[int]) ->
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b), a written table, those with 100 * intersection >= percent * union."""
-    total = pairs.count()
-    a, b = (_hubs(pairs, end, total) for end in "ab")
+    a, b = _hubs(pairs)
     both = _with_sets(_with_sets(pairs, sets, "b", b), sets, "a", a)
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total")).where(f"100 * common >= {percent} * (total - common)").select("a", "b")
