@@ -539,6 +539,46 @@ def test_cells_joined_across_batches():
         assert joined([cut]) == want
 
 
+def test_cells_that_are_unlike_their_leader_meet_each_other():
+    """A signature of three contents: the second and the third are alike, the first is like neither."""
+    r = random.Random(31)
+    one, two = ([r.randrange(1, 1 << 31) for _ in range(60)] for _ in range(2))
+    three = [*two[:3], 5, *two[4:]]
+    around = [np.array([*x[:30], 77, *x[31:]], np.uint32) for x in (one, two, three)]
+    rows = [(8, d, 30 << 32 | 1, d << 40 | d << 16 | d) for d in (1, 2, 3)] + [(16, 4, 1, 1), (24, 5, 1, 1)]
+    cells = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*[(0, 1, 1, 1), *rows])], names=["key", "doc", "spot", "ctx"])
+    found = [x for b in compact_windows._join_cells(iter([cells])) for x in b.to_pylist()]
+    assert {(x["a"], x["b"]) for x in found if x["side"] == compact_windows._PAIR} == {(1, 2), (1, 3)}
+    assert [x["a"] for x in found if x["side"] == compact_windows._CONTENT and x["key"] == 8] == [1, 2, 3]
+    met = list(compact_windows.meet_all([1, 2, 3], around, [30] * 3, 46, 80))
+    assert [(i, j) for i, j, _ in met] == [(1, 2)] and met[0][2] == (0, 59, 0, 59)
+
+
+def test_cells_of_a_signature_by_brute_force():
+    """Each word gets the source that comparing all pairs gives it."""
+    r = random.Random(32)
+    for _ in range(100):
+        base, around, centre = [r.randrange(1, 1 << 30) for _ in range(60)], [], []
+        doc = sorted(r.randrange(20) for _ in range(r.randint(2, 20)))
+        for _ in doc:
+            x = list(base)
+            for p in r.sample([*range(30), *range(31, 60)], r.randint(0, 5)):
+                x[p] = r.choice([r.randrange(1 << 30), r.choice(base)])
+            a = r.randint(0, 25)
+            around.append(np.array(x[a : r.randint(35, 60)], np.uint32))
+            centre.append(30 - a)
+        every = [(i, j, f) for j in range(len(doc)) for i in range(j) if doc[i] != doc[j] for f in compact_windows.alike(around[i], centre[i], around[j], centre[j], 12, 80)]
+
+        def sources(found):
+            out = {}
+            for i, j, f in found:
+                for k, a, b in ((i, *f[:2]), (j, *f[2:])):
+                    out |= {(k, p): min(out.get((k, p), 99), doc[i]) for p in range(a, b + 1)}
+            return out
+
+        assert sources(compact_windows.meet_all(doc, around, centre, 12, 80)) == sources(every)
+
+
 def test_first_holders_across_partitions_and_batches():
     """Sorted rows, cut into partitions and batches in every way, give each passage of several documents the first of them."""
     r = random.Random(7)

@@ -30,6 +30,12 @@ every window exactly, about 2 n / min_words for a text of n words.
    comparison sees holds all passages of the least length around the centre;
    each passage of a longer stretch is in a cell of its own.
 
+5. Where a signature has three contents or more, some may be alike to each
+   other and not to a leader. The first two documents of each content meet all
+   others of the signature inside tasks, a crowd's in parts (meet_all): what is
+   left out is only what earlier finds already cover, so each word gets the
+   source that comparing all pairs would give it.
+
 A passage at similarity J shares a band's signature with a chance of J * J, so
 at 0.8 none of four bands joins it with a chance of about 0.02.
 """
@@ -39,6 +45,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -208,11 +215,14 @@ def _cells(min_words: int, bands: int):
 _JOINED = "a long, pa long, b long, pb long, key long, side int, ctx long"
 #: side of a joined row: a pair; a live cell (document, start, passages); from _LEADER on, the first cell of a signature, or of its words to the right or left.
 _PAIR, _LIVE, _LEADER = 0, 1, 2
+#: side of the cells of a signature, the first two of each content (in ctx) that are of different documents.
+_CONTENT = -1
 
 
 def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells sorted by key and document -> pairs, live cells of the first band, and leaders of the first and last key."""
     current, known, first_key, done_first = None, ({}, {}, {}), None, False
+    contents: dict[int, list[tuple[int, int]]] = {}  # of the present key
     held = None  # the last row of the batch before
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -226,15 +236,25 @@ def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, none = len(key), np.zeros(len(key), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(spot >> 32), pa.array(spot & 0xFFFFF), pa.array(none), pa.array(key), pa.array(np.full(m, _LIVE, np.int32)), pa.array(none)], names=["a", "pa", "b", "pb", "key", "side", "ctx"])
 
+    def close(out: list[tuple], edge: bool) -> None:
+        """The present key is complete here. With two contents, the leader and its copies have met the others."""
+        if len(contents) > 2 or edge:
+            out += [(d, p, d, p, current, _CONTENT, ctx) for ctx, own in contents.items() for d, p in own]
+
     def step(out: list[tuple], rows: list[np.ndarray]) -> None:
-        nonlocal current, known, done_first
+        nonlocal current, known, done_first, contents
         for k, d, spot, ctx in zip(*(x.tolist() for x in rows)):
             if k != current:
+                close(out, current == first_key)
                 if current == first_key and not done_first:
                     out += leaders()
                     done_first = True
-                current, known = k, ({}, {}, {})
-            _meet(out, known, d, (spot >> 32) + (spot >> 20 & 0xFFF), ctx)
+                current, known, contents = k, ({}, {}, {}), {}
+            p = (spot >> 32) + (spot >> 20 & 0xFFF)
+            _meet(out, known, d, p, ctx)
+            own = contents.setdefault(ctx, [])
+            if not own or len(own) == 1 and own[0][0] != d:
+                own.append((d, p))
 
     for batch in batches:
         if not batch.num_rows:
@@ -264,6 +284,7 @@ def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held is not None:
         out = []
         step(out, held)
+        close(out, True)
         if not done_first or current != first_key:
             out += leaders()
         yield table(out)
@@ -432,19 +453,19 @@ def alike(x: np.ndarray, cx: int, y: np.ndarray, cy: int, width: int, percent: i
     xs, ys = x.tolist(), y.tolist()
     rx, ry = _runs(xs, set(ys)), _runs(ys, set(xs))
     ax, ay = (next(k for k, (a, b) in enumerate(r) if a <= c <= b) for r, c in ((rx, cx), (ry, cy)))
+    sx, sy = ([0, *accumulate(b - a + 1 for a, b in r)] for r in (rx, ry))
     tries = []
     for lo in range(min(ax, ay) + 1):
         for hi in range(min(len(rx) - ax, len(ry) - ay)):
             a, b, c, d = rx[ax - lo][0], rx[ax + hi][1], ry[ay - lo][0], ry[ay + hi][1]
-            if min(b - a, d - c) + 1 >= width:
+            # as if all shingles of the runs were common
+            if min(b - a, d - c) + 1 >= width and (100 + percent) * min(sx[ax + hi + 1] - sx[ax - lo], sy[ay + hi + 1] - sy[ay - lo]) >= percent * (b - a + d - c + 2):
                 tries.append((a - b + c - d, a, b, c, d))
     found: list[tuple[int, int, int, int]] = []
     for _, a, b, c, d in sorted(tries):
         if any(p <= a and b <= q and u <= c and d <= v for p, q, u, v in found):
             continue
         p, q = xs[a : b + 1], ys[c : d + 1]
-        if 200 * min(len(p), len(q)) < 2 * percent * max(len(p), len(q)):
-            continue
         u, v = set(p), set(q)
         common = len(u & v) if len(u) == len(p) or len(v) == len(q) else sum((Counter(p) & Counter(q)).values())
         if 100 * common >= percent * (len(p) + len(q) - common):
@@ -452,6 +473,119 @@ def alike(x: np.ndarray, cx: int, y: np.ndarray, cy: int, width: int, percent: i
     return found
 
 
+#: Cells of a signature are compared with each other in tasks of about twice so many.
+CROWD = 512
+_NEAR = "a long, a0 long, a1 long, b long, b0 long, b1 long"
+
+
+def _worth(has: np.ndarray, centre: np.ndarray, ca: np.ndarray, cb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the most that a stretch over the centre is worth, and the most of those that go beyond ca..cb.
+
+    A stretch begins and ends with shared shingles. With s and t shingles, of
+    which the other has c at least, two stretches are alike enough only if
+    (100 + percent) * 2 * c >= 2 * percent * (s + t): half of that is each one's.
+    """
+    m, n = has.shape
+    sums = np.zeros((m, n + 1), np.int32)
+    np.cumsum(np.where(has, 100 - percent, -2 * percent), axis=1, out=sums[:, 1:], dtype=np.int32)
+    low, at, c, ca, cb = -(1 << 28), np.arange(n), centre[:, None], ca[:, None], cb[:, None]
+    ends = np.where(has & (at >= c), sums[:, 1:], low)
+    starts = np.where(has & (at <= c), -sums[:, :-1], low)
+    end, start = ends.max(axis=1), starts.max(axis=1)
+    beyond = np.maximum(np.where(at > cb, ends, low).max(axis=1) + start, end + np.where(at < ca, starts, low).max(axis=1))
+    return end + start, beyond
+
+
+def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width: int, percent: int) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
+    """Cells of a signature, by document -> (i, j, stretch), i before j: what comparing all pairs finds, without what adds nothing.
+
+    A pair adds nothing if each stretch that may be alike enough (by the number
+    of shingles that the other has) lies in stretches found before: in j
+    with documents up to that of i, in i with any, whose words then have a
+    source no later than i.
+    """
+    m, most = len(doc), max(map(len, around))
+    size = np.array([len(x) for x in around])
+    _, flat = np.unique(np.concatenate(around), return_inverse=True)
+    none = int(flat.max()) + 1
+    ids = np.full((m, most), none, np.int32)
+    ids[np.arange(most) < size[:, None]] = flat
+    docs, c = np.array(doc), np.array(centre)
+    ca, cb = c + 1, c - 1  # found so far: nothing
+    place = np.full(none + 1, most, np.int32)
+    least = -(-percent * width // 100)
+
+    for j in range(1, m):
+        own = ids[j, : size[j]]
+        place[own[::-1]] = np.arange(size[j] - 1, -1, -1)  # the first of equal ones
+        place[none] = most
+        first = place[own]
+        at = place[ids[:j]]
+        has = at < most
+        cand = np.flatnonzero((has.sum(axis=1) >= least) & (docs[:j] != docs[j]))
+        if len(cand):
+            at, has = at[cand], has[cand]
+            back = np.zeros((len(cand), most + 1), bool)
+            back[np.arange(len(cand))[:, None], at] = True
+            back[:, : size[j]] = back[:, first]
+            back[:, size[j] :] = False
+            back = back[:, :most]
+            its, its_beyond = _worth(has, c[cand], ca[cand], cb[cand], percent)
+            k, need = 0, None
+            while k < len(cand):
+                if need is None:
+                    mine, beyond = _worth(back[k:], *(np.full(len(cand) - k, x[j]) for x in (c, ca, cb)), percent)
+                    need, n = k + np.flatnonzero((its_beyond[k:] + mine >= 0) | (its[k:] + beyond >= 0)), 0
+                if n == len(need):
+                    break
+                i = int(cand[need[n]])
+                k, n = int(need[n]) + 1, n + 1
+                for found in alike(around[i], centre[i], around[j], centre[j], width, percent):
+                    yield i, j, found
+                    if found[0] < ca[i] or found[1] > cb[i]:
+                        ca[i], cb[i] = min(ca[i], found[0]), max(cb[i], found[1])
+                    if found[2] < ca[j] or found[3] > cb[j]:
+                        ca[j], cb[j] = min(ca[j], found[2]), max(cb[j], found[3])
+                        need = None
+        place[own] = most
+
+
+def _compare_all(width: int, percent: int):
+    """(key, lo, hi, doc, place, begin, around), sorted -> rows of meet_all for each key, lo and hi."""
+
+    def group(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, place, begin, around = zip(*rows)
+        if min(doc) == max(doc):
+            return
+        found = list(meet_all(list(doc), [np.frombuffer(x, np.uint32) for x in around], [p - b for p, b in zip(place, begin)], width, percent))
+        if found:
+            cols = zip(*((doc[i], begin[i] + f[0], begin[i] + f[1] + SHINGLE, doc[j], begin[j] + f[2], begin[j] + f[3] + SHINGLE) for i, j, f in found))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["a", "a0", "a1", "b", "b0", "b1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for *key, doc, place, begin, around in zip(*(batch.column(x).to_pylist() for x in ("key", "lo", "hi", "doc", "place", "begin", "around"))):
+                if key != now:
+                    if len(rows) > 1:
+                        yield from group(rows)
+                    now, rows = key, []
+                rows.append((doc, place, begin, around))
+        if len(rows) > 1:
+            yield from group(rows)
+
+    return run
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    """(key, doc, place) -> (key, lo, hi, doc, place): any two cells of a key meet under some lo and hi; cells of a key with few are under one."""
+    size = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    at = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc", "place"), F.col("parts")).cast("int")).otherwise(0)
+    other = F.explode(F.when(F.col("parts") > 1, F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("at"))).otherwise(F.array(F.lit(0))))
+    met = cells.join(size, "key").withColumn("at", at).withColumn("other", other)
+    return met.select("key", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "doc", "place")
+
+
 def _compare(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -520,7 +654,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, b
     that overlap or touch are split where the source changes, so a stretch
     may be shorter than min_words. Equal passages are all found, each with the
     smallest document that has it; of edited ones, those that share a
-    signature (see above) with a leader that they are alike to. Of documents
+    signature (see above) with one that they are alike to. Of documents
     with the same words, the first has the stretches that it shares with
     others, and all have their whole text, if it has min_words words. Null or
     shorter texts and rows with null doc_id give nothing; equal rows of one
@@ -555,7 +689,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, b
     pairs = every.groupBy("a", "b", F.expr("pa - pb").alias("diagonal"), F.expr(f"pa div {BLOCK}").alias("block")).agg(F.min("pa").alias("pa")).selectExpr("a", "pa", "b", "pa - diagonal as pb")
     pairs = scratch.table("pairs", pairs)
 
-    places = pairs.select("a", "pa").unionByName(pairs.selectExpr("b as a", "pb as pa")).distinct().withColumn("n", F.lit(0).cast("long"))
+    # the cells of a key that spans partitions come from each
+    contents = scratch.table("contents", joined.where(f"side = {_CONTENT}").selectExpr("key", "a as doc", "pa as place").distinct())
+    contents = scratch.table("dealt", _dealt(contents))
+
+    places = pairs.select("a", "pa").unionByName(pairs.selectExpr("b as a", "pb as pa")).unionByName(contents.selectExpr("doc as a", "place as pa")).distinct().withColumn("n", F.lit(0).cast("long"))
     places = places.unionByName(joined.where(f"side = {_LIVE}").selectExpr("a", "pa", "b as n"))
     places = scratch.table("places", places.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("pa", "n")).alias("places")))
     # texts are dealt out by id at every size: lists of places grow with them
@@ -569,13 +707,15 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, b
     around = seen.where("around is not null").select("doc", "place", "begin", "around").dropDuplicates(["doc", "place"])
     around = scratch.table("around", around)
     both = pairs.join(around.selectExpr("doc as b", "place as pb", "begin as bb", "around as xb"), ["b", "pb"]).join(around.selectExpr("doc as a", "place as pa", "begin as ba", "around as xa"), ["a", "pa"])
-    near = scratch.table("near", both.mapInArrow(W.tidied(_compare(width, percent)), "a long, a0 long, a1 long, b long, b0 long, b1 long"))
+    rest = contents.join(around, ["doc", "place"]).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc", "place")
+    near = both.mapInArrow(W.tidied(_compare(width, percent)), _NEAR).unionByName(rest.mapInArrow(W.tidied(_compare_all(width, percent)), _NEAR))
+    near = scratch.table("near", near)
     sides = near.selectExpr("b as doc_id", "b0 as start", "b1 as stop", "a as source").unionByName(near.selectExpr("a as doc_id", "a0 as start", "a1 as stop", "a as source"))
     sides = sides.groupBy("doc_id", "start", "stop").agg(F.min("source").alias("source"))
 
     own = spans.unionByName(sides).unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "source")).alias("spans"))
     out = scratch.table("out", own.mapInArrow(W.tidied(_split), "doc_id long, start long, stop long, source long"))
-    scratch.drop("joined", "pairs", "places", "seen", "held", "around", "near", "copies", "unclear", "whole")
+    scratch.drop("joined", "contents", "dealt", "pairs", "places", "seen", "held", "around", "near", "copies", "unclear", "whole")
     return out.selectExpr("doc_id", "start as start_word", "stop - start as n_words", "source as source_id")
 
 
