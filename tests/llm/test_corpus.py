@@ -579,6 +579,48 @@ def test_cells_of_a_signature_by_brute_force():
         assert sources(compact_windows.meet_all(doc, around, centre, 12, 80)) == sources(every)
 
 
+def crowd(r, cells):
+    """(doc, begin, around, place) of edited copies of one passage."""
+    base, rows = [r.randrange(1, 1 << 30) for _ in range(120)], []
+    for d in range(cells):
+        x = list(base)
+        for p in r.sample([*range(55), *range(65, 120)], r.randint(0, 12)):
+            x[p] = r.randrange(1 << 30)
+        a = r.randint(0, 40)
+        rows.append((d, a, np.array(x[a : r.randint(80, 120)], np.uint32), 60))
+    return rows
+
+
+def test_rows_of_a_crowd_grow_with_its_cells():
+    """The sides of what a crowd's cells have in common are as few as its cells, and name the source that comparing all pairs gives each word."""
+    rows = crowd(random.Random(33), 150)
+    batch = pa.RecordBatch.from_pylist([{"key": 1, "lo": 0, "hi": 0, "doc": d, "place": p, "begin": a, "around": x.tobytes()} for d, a, x, p in rows])
+    got = [x for b in compact_windows._compare_all(46, 80)(iter([batch])) for x in b.to_pylist()]
+    want, pairs = {}, 0
+    for j, (_, aj, y, _) in enumerate(rows):
+        for i, (_, ai, x, _) in enumerate(rows[:j]):
+            for f in compact_windows.alike(x, 60 - ai, y, 60 - aj, 46, 80):
+                pairs += 1
+                for d, a, b in ((i, ai + f[0], ai + f[1]), (j, aj + f[2], aj + f[3])):
+                    want |= {(d, p): min(want.get((d, p), 999), i) for p in range(a, b + 5)}
+    sources = {}
+    for x in got:
+        sources |= {(x["doc_id"], p): min(sources.get((x["doc_id"], p), 999), x["source"]) for p in range(x["start"], x["stop"])}
+    assert sources == want
+    assert pairs > 3000 and len(got) < 4 * len(rows)
+
+
+def test_places_are_looked_at_with_what_they_are_for():
+    """What lies around a place goes straight to its signature or pair: a text is looked at once, and no list of places is joined again."""
+    text = " ".join(f"w{k}" for k in range(120))
+    places = [{"place": p, "n": n, "what": w, "key": k, "lo": 0, "hi": 0} for p, n, w, k in ((40, 0, 1, 77), (3, 2, 0, 0), (30, 0, 2, 5), (40, 0, 3, 9))]
+    kind = pa.list_(pa.struct([pa.field(n, pa.int32() if n == "what" else pa.int64()) for n in ("place", "n", "what", "key", "lo", "hi")]))
+    one = pa.RecordBatch.from_arrays([pa.array([8], pa.int64()), pa.array([text]), pa.array([places], kind)], names=["doc_id", "text", "places"])
+    seen = [x for b in compact_windows._look(46)(iter([one, one])) for x in b.to_pylist()]
+    assert [(x["place"], x["what"]) for x in seen if x["h1"] is not None] == [(3, 0), (4, 0)]
+    assert [(x["place"], x["what"], x["key"]) for x in seen if x["around"] is not None] == [(30, 2, 5), (40, 1, 77), (40, 3, 9)]
+
+
 def test_first_holders_across_partitions_and_batches():
     """Sorted rows, cut into partitions and batches in every way, give each passage of several documents the first of them."""
     r = random.Random(7)

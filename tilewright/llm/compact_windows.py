@@ -302,38 +302,46 @@ def _meet(out: list[tuple], known: tuple[dict, ...], d: int, p: int, ctx: int) -
             met.append(leader)
 
 
-_SEEN = "doc long, place long, h1 long, h2 long, begin long, around binary"
+_SEEN = "doc long, place long, h1 long, h2 long, begin long, around binary, what int, key long, lo long, hi long"
+#: what a place is looked at for: its passages (n of them); a cell of a signature (key, lo, hi); either end of a pair, by the leader's (document, place) in key and lo.
+_PASSAGES, _CELL, _END, _LEADS = 0, 1, 2, 3
 
 
 def _look(width: int):
-    """(doc_id, text, places) -> for places with n > 0, the content hashes of the n passages that begin there; for others, the shingles around."""
+    """(doc_id, text, places), equal documents beside each other -> of live places the content hashes of the n passages that begin there; of others the shingles around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
         for batch in batches:
             for i in range(batch.num_rows):
+                doc = batch.column(0)[i].as_py()
+                if doc == done:
+                    continue
+                done = doc
                 words, _ = W.hash_words(W.encoded([batch.column(1)[i].as_py()]))
                 s = W.shingle(words, SHINGLE)
-                doc = batch.column(0)[i].as_py()
                 own = batch.column(2)[i].values
-                place, n = (own.field(k).to_numpy() for k in (0, 1))
-                starts = np.concatenate([np.empty(0, np.int64), *(np.arange(p, p + k) for p, k in zip(place[n > 0].tolist(), n[n > 0].tolist()))])
+                place, n, what, *keys = (own.field(k).to_numpy() for k in range(6))
+                live = what == _PASSAGES
+                starts = np.concatenate([np.empty(0, np.int64), *(np.arange(p, p + k) for p, k in zip(place[live].tolist(), n[live].tolist()))])
                 if len(starts):
                     h = [pa.array(Spans(s, k).of(starts, starts + width).view(np.int64)) for k in (0, 1)]
-                    none = pa.nulls(len(starts), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), doc)), pa.array(starts), *h, none, pa.nulls(len(starts), pa.binary())], names=["doc", "place", "h1", "h2", "begin", "around"])
-                places = np.unique(place[n == 0]).tolist()
-                if places:
+                    m, none = len(starts), pa.nulls(len(starts), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, doc)), pa.array(starts), *h, none, pa.nulls(m, pa.binary()), pa.array(np.full(m, _PASSAGES, np.int32)), none, none, none], names=_SEEN_NAMES)
+                at = np.flatnonzero(~live)
+                if len(at):
+                    # what lies around near places is much the same, and packs well beside each other
+                    at = at[np.argsort(place[at], kind="stable")]
                     low = s.astype(np.uint32)
-                    begin = [max(0, p - 2 * width) for p in places]
-                    none = pa.nulls(len(places), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(places), pa.int64()), pa.array(places, pa.int64()), none, none, pa.array(begin, pa.int64()), pa.array([low[b : p + 2 * width + 1].tobytes() for b, p in zip(begin, places)], pa.binary())],
-                        names=["doc", "place", "h1", "h2", "begin", "around"],
-                    )
+                    begin = np.maximum(0, place[at] - 2 * width)
+                    around = [low[b : p + 2 * width + 1].tobytes() for b, p in zip(begin.tolist(), place[at].tolist())]
+                    none = pa.nulls(len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc)), pa.array(place[at]), none, none, pa.array(begin), pa.array(around, pa.binary()), pa.array(what[at]), *(pa.array(k[at]) for k in keys)], names=_SEEN_NAMES)
 
     return run
 
 
+_SEEN_NAMES = ["doc", "place", "h1", "h2", "begin", "around", "what", "key", "lo", "hi"]
 _HELD = "kind int, doc long, place long, source long, h1 long, h2 long"
 #: kind of a row: a passage with its source; one whose content goes on in another partition; the first and last document (doc, source) of such a content.
 _HOLDER, _OPEN, _ENDS = 0, 1, 2
@@ -474,35 +482,42 @@ def alike(x: np.ndarray, cx: int, y: np.ndarray, cy: int, width: int, percent: i
 
 
 #: Cells of a signature are compared with each other in tasks of about twice so many.
-CROWD = 512
-_NEAR = "a long, a0 long, a1 long, b long, b0 long, b1 long"
-
+CROWD = 2048
+_SIDES = "doc_id long, start long, stop long, source long"
 
-def _worth(has: np.ndarray, centre: np.ndarray, ca: np.ndarray, cb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the most that a stretch over the centre is worth, and the most of those that go beyond ca..cb.
 
-    A stretch begins and ends with shared shingles. With s and t shingles, of
-    which the other has c at least, two stretches are alike enough only if
-    (100 + percent) * 2 * c >= 2 * percent * (s + t): half of that is each one's.
-    """
+def _around_centre(has: np.ndarray, centre: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Of each row the runs of shared shingles by their distance from the centre's, up to `most` of them -> first places and shared shingles before these; last places and shared shingles up to these. first and last are -1 where there is none."""
     m, n = has.shape
     sums = np.zeros((m, n + 1), np.int32)
-    np.cumsum(np.where(has, 100 - percent, -2 * percent), axis=1, out=sums[:, 1:], dtype=np.int32)
-    low, at, c, ca, cb = -(1 << 28), np.arange(n), centre[:, None], ca[:, None], cb[:, None]
-    ends = np.where(has & (at >= c), sums[:, 1:], low)
-    starts = np.where(has & (at <= c), -sums[:, :-1], low)
-    end, start = ends.max(axis=1), starts.max(axis=1)
-    beyond = np.maximum(np.where(at > cb, ends, low).max(axis=1) + start, end + np.where(at < ca, starts, low).max(axis=1))
-    return end + start, beyond
+    np.cumsum(has, axis=1, out=sums[:, 1:])
+    edge = np.zeros((m, n + 1), np.int8)
+    edge[:, :n] = has
+    edge[:, 1:] -= has
+    row, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1] - 1
+    count = np.bincount(row, minlength=m)
+    own = np.bincount(row, first <= centre[row], minlength=m).astype(np.int64) - 1
+    apart = np.arange(len(row)) - (np.cumsum(count) - count)[row] - own[row]
+    k = min(most, int(np.abs(apart).max()) + 1)
+    out = [np.full((m, k), -1, np.int32) for _ in range(4)]
+    for sign, place, shift, to in ((-1, first, 0, out[:2]), (1, last, 1, out[2:])):
+        at = np.flatnonzero((sign * apart >= 0) & (sign * apart < k))
+        r, p = row[at], place[at]
+        to[0][r, sign * apart[at]] = p
+        to[1][r, sign * apart[at]] = sums[r, p + shift]
+    return tuple(out)
 
 
 def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width: int, percent: int) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
     """Cells of a signature, by document -> (i, j, stretch), i before j: what comparing all pairs finds, without what adds nothing.
 
-    A pair adds nothing if each stretch that may be alike enough (by the number
-    of shingles that the other has) lies in stretches found before: in j
-    with documents up to that of i, in i with any, whose words then have a
-    source no later than i.
+    A pair adds nothing if each stretch that alike would try and that has enough
+    shared shingles lies in stretches found before: in j with documents up to
+    that of i, in i with any, whose words then have a source no later than i.
+    So pairs are taken by their first cell. A stretch that goes beyond those
+    begins or ends there with a shared shingle: a cell without any that another
+    cell has is compared only with cells that have some.
     """
     m, most = len(doc), max(map(len, around))
     size = np.array([len(x) for x in around])
@@ -510,57 +525,93 @@ def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width:
     none = int(flat.max()) + 1
     ids = np.full((m, most), none, np.int32)
     ids[np.arange(most) < size[:, None]] = flat
+    cells = np.zeros(none + 1, np.int32)
+    for j in range(m):
+        cells[ids[j]] += 1
+    cells[none] = 0
+    outside = cells[ids] > 1  # shared by some, and not in a stretch found so far
     docs, c = np.array(doc), np.array(centre)
     ca, cb = c + 1, c - 1  # found so far: nothing
     place = np.full(none + 1, most, np.int32)
     least = -(-percent * width // 100)
-
-    for j in range(1, m):
-        own = ids[j, : size[j]]
-        place[own[::-1]] = np.arange(size[j] - 1, -1, -1)  # the first of equal ones
-        place[none] = most
-        first = place[own]
-        at = place[ids[:j]]
-        has = at < most
-        cand = np.flatnonzero((has.sum(axis=1) >= least) & (docs[:j] != docs[j]))
-        if len(cand):
-            at, has = at[cand], has[cand]
-            back = np.zeros((len(cand), most + 1), bool)
-            back[np.arange(len(cand))[:, None], at] = True
-            back[:, : size[j]] = back[:, first]
-            back[:, size[j] :] = False
-            back = back[:, :most]
-            its, its_beyond = _worth(has, c[cand], ca[cand], cb[cand], percent)
-            k, need = 0, None
-            while k < len(cand):
-                if need is None:
-                    mine, beyond = _worth(back[k:], *(np.full(len(cand) - k, x[j]) for x in (c, ca, cb)), percent)
-                    need, n = k + np.flatnonzero((its_beyond[k:] + mine >= 0) | (its[k:] + beyond >= 0)), 0
-                if n == len(need):
-                    break
-                i = int(cand[need[n]])
-                k, n = int(need[n]) + 1, n + 1
-                for found in alike(around[i], centre[i], around[j], centre[j], width, percent):
-                    yield i, j, found
-                    if found[0] < ca[i] or found[1] > cb[i]:
-                        ca[i], cb[i] = min(ca[i], found[0]), max(cb[i], found[1])
-                    if found[2] < ca[j] or found[3] > cb[j]:
-                        ca[j], cb[j] = min(ca[j], found[2]), max(cb[j], found[3])
-                        need = None
+    # between runs there are shingles that aren't shared, as many runs on either side
+    runs = most * (100 - percent) // (100 + percent) + 1
+
+    for i in range(m - 1):
+        if i & (i - 1) == 0:
+            active = outside.any(axis=1)
+            if not active.any():
+                return
+        mine = outside[i].any()
+        rows = np.flatnonzero((docs[i + 1 :] != docs[i]) & (True if mine else active[i + 1 :])) + i + 1
+        if not len(rows):
+            continue
+        own = ids[i, : size[i]]
+        place[own[::-1]] = np.arange(size[i] - 1, -1, -1)  # the first of equal ones
+        first, at = place[own], place[ids[rows]]
         place[own] = most
+        has = at < most
+        keep = np.count_nonzero(has, axis=1) >= least
+        if not mine:
+            keep &= (has & outside[rows]).any(axis=1)
+        rows, at, has = rows[keep], at[keep], has[keep]
+        if not len(rows):
+            continue
+        back = np.zeros((len(rows), most + 1), bool)
+        back[np.arange(len(rows))[:, None], at] = True
+        back = back[:, first]
+        if mine:
+            keep = (has & outside[rows]).any(axis=1) | (back & outside[i, : size[i]]).any(axis=1)
+            rows, has, back = rows[keep], has[keep], back[keep]
+            if not len(rows):
+                continue
+        xs, ys = _around_centre(back, np.full(len(rows), c[i]), runs), _around_centre(has, c[rows], runs)
+        k = min(xs[0].shape[1], ys[0].shape[1])
+        (xa, xn, xb, xm), (ya, yn, yb, ym) = ([x[:, :k] for x in s] for s in (xs, ys))
+        long = [b[:, None, :] - a[:, :, None] + 1 for a, b in ((xa, xb), (ya, yb))]
+        common = np.minimum(xm[:, None, :] - xn[:, :, None], ym[:, None, :] - yn[:, :, None])
+        tries = ((xa >= 0) & (ya >= 0))[:, :, None] & ((xb >= 0) & (yb >= 0))[:, None, :]
+        tries &= (np.minimum(*long) >= width) & ((100 + percent) * common >= percent * (long[0] + long[1]))
+        low, high = ya < ca[rows, None], yb > cb[rows, None]
+        need, k = None, 0
+        while True:
+            if need is None:
+                more = tries[k:] & ((low[k:] | (xa[k:] < ca[i]))[:, :, None] | (high[k:] | (xb[k:] > cb[i]))[:, None, :])
+                need, n = k + np.flatnonzero(more.any(axis=(1, 2))), 0
+            if n == len(need):
+                break
+            j, k, n = int(rows[need[n]]), int(need[n]) + 1, n + 1
+            for found in alike(around[i], centre[i], around[j], centre[j], width, percent):
+                yield i, j, found
+                for x, a, b in ((i, *found[:2]), (j, *found[2:])):
+                    if a < ca[x] or b > cb[x]:
+                        ca[x], cb[x] = min(ca[x], a), max(cb[x], b)
+                        outside[x, ca[x] : cb[x] + 1] = False
+                        need = None if x == i else need
+
+
+def _sides(found: list[tuple[int, ...]]) -> pa.RecordBatch:
+    """(a, a0, a1, b, b0, b1) -> rows (doc_id, start, stop, source) in which each word has the first of the sources that these give it."""
+    spans: dict[int, set[tuple[int, int, int]]] = {}
+    for a, a0, a1, b, b0, b1 in found:
+        spans.setdefault(a, set()).add((a0, a1, a))
+        spans.setdefault(b, set()).add((b0, b1, a))
+    rows = [(d, *s) for d, own in spans.items() for s in smallest_sources(list(own))]
+    cols = list(zip(*rows)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["doc_id", "start", "stop", "source"])
 
 
 def _compare_all(width: int, percent: int):
-    """(key, lo, hi, doc, place, begin, around), sorted -> rows of meet_all for each key, lo and hi."""
+    """(key, lo, hi, doc, place, begin, around), sorted -> of each key, lo and hi the sides of what meet_all finds: rows grow with its cells, not with its pairs."""
 
     def group(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, place, begin, around = zip(*rows)
         if min(doc) == max(doc):
             return
-        found = list(meet_all(list(doc), [np.frombuffer(x, np.uint32) for x in around], [p - b for p, b in zip(place, begin)], width, percent))
+        found = meet_all(list(doc), [np.frombuffer(x, np.uint32) for x in around], [p - b for p, b in zip(place, begin)], width, percent)
+        found = [(doc[i], begin[i] + f[0], begin[i] + f[1] + SHINGLE, doc[j], begin[j] + f[2], begin[j] + f[3] + SHINGLE) for i, j, f in found]
         if found:
-            cols = zip(*((doc[i], begin[i] + f[0], begin[i] + f[1] + SHINGLE, doc[j], begin[j] + f[2], begin[j] + f[3] + SHINGLE) for i, j, f in found))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["a", "a0", "a1", "b", "b0", "b1"])
+            yield _sides(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -570,7 +621,8 @@ def _compare_all(width: int, percent: int):
                     if len(rows) > 1:
                         yield from group(rows)
                     now, rows = key, []
-                rows.append((doc, place, begin, around))
+                if not rows or rows[-1][:2] != (doc, place):
+                    rows.append((doc, place, begin, around))
         if len(rows) > 1:
             yield from group(rows)
 
@@ -593,8 +645,7 @@ def _compare(width: int, percent: int):
             for a, pa_, ba, xa, b, pb, bb, xb in zip(*(batch.column(c).to_pylist() for c in ("a", "pa", "ba", "xa", "b", "pb", "bb", "xb"))):
                 for found in alike(np.frombuffer(xa, np.uint32), pa_ - ba, np.frombuffer(xb, np.uint32), pb - bb, width, percent):
                     rows.append((a, ba + found[0], ba + found[1] + SHINGLE, b, bb + found[2], bb + found[3] + SHINGLE))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "a0", "a1", "b", "b0", "b1"])
+            yield _sides(rows)
 
     return run
 
@@ -693,29 +744,31 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, b
     contents = scratch.table("contents", joined.where(f"side = {_CONTENT}").selectExpr("key", "a as doc", "pa as place").distinct())
     contents = scratch.table("dealt", _dealt(contents))
 
-    places = pairs.select("a", "pa").unionByName(pairs.selectExpr("b as a", "pb as pa")).unionByName(contents.selectExpr("doc as a", "place as pa")).distinct().withColumn("n", F.lit(0).cast("long"))
-    places = places.unionByName(joined.where(f"side = {_LIVE}").selectExpr("a", "pa", "b as n"))
-    places = scratch.table("places", places.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("pa", "n")).alias("places")))
+    looks = [
+        joined.where(f"side = {_LIVE}").selectExpr("a as doc_id", "pa as place", "b as n", f"{_PASSAGES} as what", "0L as key", "0L as lo", "0L as hi"),
+        contents.selectExpr("doc as doc_id", "place", "0L as n", f"{_CELL} as what", "key", "cast(lo as long) as lo", "cast(hi as long) as hi"),
+        pairs.selectExpr("b as doc_id", "pb as place", "0L as n", f"{_END} as what", "a as key", "pa as lo", "0L as hi"),
+        pairs.select("a", "pa").distinct().selectExpr("a as doc_id", "pa as place", "0L as n", f"{_LEADS} as what", "a as key", "pa as lo", "0L as hi"),
+    ]
+    places = looks[0].unionByName(looks[1]).unionByName(looks[2]).unionByName(looks[3])
+    places = scratch.table("places", places.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "what", "key", "lo", "hi")).alias("places")))
     # texts are dealt out by id at every size: lists of places grow with them
     near = texts.hint("merge").join(places, "doc_id").select("doc_id", "text", "places")
     seen = scratch.table("seen", near.mapInArrow(W.tidied(_look(width)), _SEEN))
 
-    equal = seen.where("h1 is not null").select("h1", "h2", "doc", "place").repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "place")
+    equal = seen.where(f"what = {_PASSAGES}").select("h1", "h2", "doc", "place").repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "place")
     held = scratch.table("held", equal.mapInArrow(W.tidied(_first_holders), _HELD))
     spans = held.where(f"kind != {_ENDS}").mapInArrow(_resolved(_crossing(held), min_words), "doc_id long, start long, stop long, source long")
 
-    around = seen.where("around is not null").select("doc", "place", "begin", "around").dropDuplicates(["doc", "place"])
-    around = scratch.table("around", around)
-    both = pairs.join(around.selectExpr("doc as b", "place as pb", "begin as bb", "around as xb"), ["b", "pb"]).join(around.selectExpr("doc as a", "place as pa", "begin as ba", "around as xa"), ["a", "pa"])
-    rest = contents.join(around, ["doc", "place"]).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc", "place")
-    near = both.mapInArrow(W.tidied(_compare(width, percent)), _NEAR).unionByName(rest.mapInArrow(W.tidied(_compare_all(width, percent)), _NEAR))
-    near = scratch.table("near", near)
-    sides = near.selectExpr("b as doc_id", "b0 as start", "b1 as stop", "a as source").unionByName(near.selectExpr("a as doc_id", "a0 as start", "a1 as stop", "a as source"))
-    sides = sides.groupBy("doc_id", "start", "stop").agg(F.min("source").alias("source"))
+    leads = seen.where(f"what = {_LEADS}").selectExpr("key as a", "lo as pa", "begin as ba", "around as xa")
+    both = seen.where(f"what = {_END}").selectExpr("key as a", "lo as pa", "doc as b", "place as pb", "begin as bb", "around as xb").join(leads, ["a", "pa"])
+    rest = seen.where(f"what = {_CELL}").select("key", "lo", "hi", "doc", "place", "begin", "around").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc", "place")
+    sides = both.mapInArrow(W.tidied(_compare(width, percent)), _SIDES).unionByName(rest.mapInArrow(W.tidied(_compare_all(width, percent)), _SIDES))
+    sides = scratch.table("near", sides.groupBy("doc_id", "start", "stop").agg(F.min("source").alias("source")))
 
     own = spans.unionByName(sides).unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "source")).alias("spans"))
     out = scratch.table("out", own.mapInArrow(W.tidied(_split), "doc_id long, start long, stop long, source long"))
-    scratch.drop("joined", "contents", "dealt", "pairs", "places", "seen", "held", "around", "near", "copies", "unclear", "whole")
+    scratch.drop("joined", "contents", "dealt", "pairs", "places", "seen", "held", "near", "copies", "unclear", "whole")
     return out.selectExpr("doc_id", "start as start_word", "stop - start as n_words", "source as source_id")
 
 
