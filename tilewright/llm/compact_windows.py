@@ -509,9 +509,10 @@ def _around_centre(has: np.ndarray, centre: np.ndarray, most: int) -> tuple[np.n
     return tuple(out)
 
 
-def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width: int, percent: int) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
+def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width: int, percent: int, group: list[int] | None = None) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
     """Cells of a signature, by document -> (i, j, stretch), i before j: what comparing all pairs finds, without what adds nothing.
 
+    group: of many signatures at once, the one of each cell, ascending.
     A pair adds nothing if each stretch that alike would try and that has enough
     shared shingles lies in stretches found before: in j with documents up to
     that of i, in i with any, whose words then have a source no later than i.
@@ -521,7 +522,11 @@ def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width:
     """
     m, most = len(doc), max(map(len, around))
     size = np.array([len(x) for x in around])
-    _, flat = np.unique(np.concatenate(around), return_inverse=True)
+    groups = np.array(group) if group else np.zeros(m, np.int64)
+    starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    ends = np.append(starts[1:], m)
+    # a shingle has one number in each group
+    _, flat = np.unique(np.repeat(groups, size) << 32 | np.concatenate(around).astype(np.int64), return_inverse=True)
     none = int(flat.max()) + 1
     ids = np.full((m, most), none, np.int32)
     ids[np.arange(most) < size[:, None]] = flat
@@ -537,35 +542,38 @@ def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width:
     # between runs there are shingles that aren't shared, as many runs on either side
     runs = most * (100 - percent) // (100 + percent) + 1
 
-    for i in range(m - 1):
-        if i & (i - 1) == 0:
+    # of all groups the first cells, then the second ones
+    for step in range(int((ends - starts).max()) - 1):
+        if step & (step - 1) == 0:
             active = outside.any(axis=1)
             if not active.any():
                 return
-        mine = outside[i].any()
-        rows = np.flatnonzero((docs[i + 1 :] != docs[i]) & (True if mine else active[i + 1 :])) + i + 1
+        some = starts + step < ends - 1
+        heads, n = starts[some] + step, (ends - starts)[some] - step - 1
+        head = np.repeat(np.arange(len(heads)), n)
+        rows = np.arange(len(head)) - (np.cumsum(n) - n)[head] + heads[head] + 1
+        keep = (docs[rows] != docs[heads][head]) & (outside[heads].any(axis=1)[head] | active[rows])
+        head, rows = head[keep], rows[keep]
         if not len(rows):
             continue
-        own = ids[i, : size[i]]
-        place[own[::-1]] = np.arange(size[i] - 1, -1, -1)  # the first of equal ones
+        own = ids[heads]
+        place[own[:, ::-1]] = np.arange(most - 1, -1, -1)  # the first of equal ones
+        place[none] = most
         first, at = place[own], place[ids[rows]]
         place[own] = most
         has = at < most
-        keep = np.count_nonzero(has, axis=1) >= least
-        if not mine:
-            keep &= (has & outside[rows]).any(axis=1)
-        rows, at, has = rows[keep], at[keep], has[keep]
-        if not len(rows):
-            continue
+        keep = np.flatnonzero(np.count_nonzero(has, axis=1) >= least)
+        head, rows, at, has = head[keep], rows[keep], at[keep], has[keep]
         back = np.zeros((len(rows), most + 1), bool)
         back[np.arange(len(rows))[:, None], at] = True
-        back = back[:, first]
-        if mine:
-            keep = (has & outside[rows]).any(axis=1) | (back & outside[i, : size[i]]).any(axis=1)
-            rows, has, back = rows[keep], has[keep], back[keep]
-            if not len(rows):
-                continue
-        xs, ys = _around_centre(back, np.full(len(rows), c[i]), runs), _around_centre(has, c[rows], runs)
+        back[:, most] = False
+        back = np.take_along_axis(back, first[head], axis=1)
+        keep = np.flatnonzero((has & outside[rows]).any(axis=1) | (back & outside[heads[head]]).any(axis=1))
+        if not len(keep):
+            continue
+        head, rows, has, back = head[keep], rows[keep], has[keep], back[keep]
+        i_s = heads[head]
+        xs, ys = _around_centre(back, c[i_s], runs), _around_centre(has, c[rows], runs)
         k = min(xs[0].shape[1], ys[0].shape[1])
         (xa, xn, xb, xm), (ya, yn, yb, ym) = ([x[:, :k] for x in s] for s in (xs, ys))
         long = [b[:, None, :] - a[:, :, None] + 1 for a, b in ((xa, xb), (ya, yb))]
@@ -573,21 +581,29 @@ def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width:
         tries = ((xa >= 0) & (ya >= 0))[:, :, None] & ((xb >= 0) & (yb >= 0))[:, None, :]
         tries &= (np.minimum(*long) >= width) & ((100 + percent) * common >= percent * (long[0] + long[1]))
         low, high = ya < ca[rows, None], yb > cb[rows, None]
-        need, k = None, 0
-        while True:
-            if need is None:
-                more = tries[k:] & ((low[k:] | (xa[k:] < ca[i]))[:, :, None] | (high[k:] | (xb[k:] > cb[i]))[:, None, :])
-                need, n = k + np.flatnonzero(more.any(axis=(1, 2))), 0
-            if n == len(need):
-                break
-            j, k, n = int(rows[need[n]]), int(need[n]) + 1, n + 1
-            for found in alike(around[i], centre[i], around[j], centre[j], width, percent):
-                yield i, j, found
-                for x, a, b in ((i, *found[:2]), (j, *found[2:])):
-                    if a < ca[x] or b > cb[x]:
-                        ca[x], cb[x] = min(ca[x], a), max(cb[x], b)
-                        outside[x, ca[x] : cb[x] + 1] = False
-                        need = None if x == i else need
+
+        def beyond(a: int, b: int) -> np.ndarray:
+            """Of rows a to b those with a try that goes beyond what is found."""
+            more = tries[a:b] & ((low[a:b] | (xa[a:b] < ca[i_s[a:b], None]))[:, :, None] | (high[a:b] | (xb[a:b] > cb[i_s[a:b], None]))[:, None, :])
+            return a + np.flatnonzero(more.any(axis=(1, 2)))
+
+        every = beyond(0, len(rows))
+        cuts = np.flatnonzero(np.append(True, head[every][1:] != head[every][:-1])) if len(every) else []
+        for need in np.split(every, cuts[1:]) if len(every) else []:
+            i, n = int(i_s[need[0]]), 0
+            end = int(np.searchsorted(head, head[need[0]], "right"))
+            while n < len(need):
+                k = int(need[n])
+                j, n, changed = int(rows[k]), n + 1, False
+                for found in alike(around[i], centre[i], around[j], centre[j], width, percent):
+                    yield i, j, found
+                    for x, a, b in ((i, *found[:2]), (j, *found[2:])):
+                        if a < ca[x] or b > cb[x]:
+                            ca[x], cb[x] = min(ca[x], a), max(cb[x], b)
+                            outside[x, ca[x] : cb[x] + 1] = False
+                            changed |= x == i
+                if changed and n < len(need):
+                    need, n = beyond(k + 1, end), 0
 
 
 def _sides(found: list[tuple[int, ...]]) -> pa.RecordBatch:
@@ -604,27 +620,33 @@ def _sides(found: list[tuple[int, ...]]) -> pa.RecordBatch:
 def _compare_all(width: int, percent: int):
     """(key, lo, hi, doc, place, begin, around), sorted -> of each key, lo and hi the sides of what meet_all finds: rows grow with its cells, not with its pairs."""
 
-    def group(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, place, begin, around = zip(*rows)
-        if min(doc) == max(doc):
-            return
-        found = meet_all(list(doc), [np.frombuffer(x, np.uint32) for x in around], [p - b for p, b in zip(place, begin)], width, percent)
+    def sides(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        group, doc, place, begin, around = zip(*rows)
+        found = meet_all(list(doc), [np.frombuffer(x, np.uint32) for x in around], [p - b for p, b in zip(place, begin)], width, percent, list(group))
         found = [(doc[i], begin[i] + f[0], begin[i] + f[1] + SHINGLE, doc[j], begin[j] + f[2], begin[j] + f[3] + SHINGLE) for i, j, f in found]
         if found:
             yield _sides(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, group, start, rows = None, 0, 0, []  # start: where the present group begins
+
+        def close() -> None:
+            if len(rows) > start and rows[start][1] == rows[-1][1]:
+                del rows[start:]  # of one document
+
         for batch in batches:
             for *key, doc, place, begin, around in zip(*(batch.column(x).to_pylist() for x in ("key", "lo", "hi", "doc", "place", "begin", "around"))):
                 if key != now:
-                    if len(rows) > 1:
-                        yield from group(rows)
-                    now, rows = key, []
-                if not rows or rows[-1][:2] != (doc, place):
-                    rows.append((doc, place, begin, around))
-        if len(rows) > 1:
-            yield from group(rows)
+                    close()
+                    if len(rows) >= CROWD:
+                        yield from sides(rows)
+                        rows.clear()
+                    now, group, start = key, group + 1, len(rows)
+                if len(rows) == start or rows[-1][1:3] != (doc, place):
+                    rows.append((group, doc, place, begin, around))
+        close()
+        if rows:
+            yield from sides(rows)
 
     return run
 
