@@ -579,6 +579,47 @@ def test_cells_of_a_signature_by_brute_force():
         assert sources(compact_windows.meet_all(doc, around, centre, 12, 80)) == sources(every)
 
 
+def test_pairs_are_compared_once():
+    """Pairs of cells that meet_all compares say so; of a third document with a content, and of two contents, they don't."""
+    rows = [(8, d, 30 << 32 | 1, c << 40 | c << 16 | c) for d, c in enumerate((1, 2, 3, 3, 3))] + [(16, d, 1, c << 40 | c << 16 | c) for d, c in enumerate((1, 2, 2))]
+    rows = [(0, 9, 1, 1), *rows, (24, 9, 1, 1)]
+    cells = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["key", "doc", "spot", "ctx"])
+    found = [x for b in compact_windows._join_cells(iter([cells])) for x in b.to_pylist()]
+    pairs = sorted((x["pa"], x["b"], x["key"]) for x in found if x["side"] == compact_windows._PAIR)
+    assert pairs == [(0, 1, 0), (0, 2, 0), (30, 1, 1), (30, 2, 1), (30, 3, 1), (30, 4, 0)]
+
+
+def test_many_pairs_are_compared_at_once():
+    """The stretches of many pairs are those of alike, which is asked only where a shared shingle is repeated."""
+    r = random.Random(34)
+    xs, cx, ys, cy = [], [], [], []
+    for k in range(400):
+        base = [r.randrange(1, 1 << 32) for _ in range(120)]
+        x, y = list(base), list(base)
+        for z in (x, y):
+            for p in r.sample([*range(60), *range(61, 120)], r.randint(0, 25)):
+                z[p] = r.choice(base) if k % 5 == 0 else r.randrange(1 << 32)
+        if k % 3 == 0:
+            y[r.randint(61, 100) :] = [r.randrange(1 << 32) for _ in range(30)]
+        c = 60 - (k % 7 == 0)
+        del y[40 : 100 - c]
+        a, b = r.randint(0, 50), r.randint(0, 25)
+        xs.append(np.array(x[a:], np.uint32))
+        ys.append(np.array(y[b:], np.uint32))
+        cx.append(60 - a)
+        cy.append(c - b)
+    whole = compact_windows.alike
+    want = [whole(x, p, y, q, 20, 80) for x, p, y, q in zip(xs, cx, ys, cy)]
+    asked = []
+    try:
+        compact_windows.alike = lambda *args: asked.append(1) or whole(*args)
+        assert list(compact_windows.alike_all(xs, cx, ys, cy, 20, 80)) == want
+    finally:
+        compact_windows.alike = whole
+    assert len(asked) < 100 and sum(map(bool, want)) > 100 and any(len(f) > 1 for f in want)
+    assert list(compact_windows.alike_all([], [], [], [], 20, 80)) == []
+
+
 def crowd(r, cells):
     """(doc, begin, around, place) of edited copies of one passage."""
     base, rows = [r.randrange(1, 1 << 30) for _ in range(120)], []

@@ -81,29 +81,26 @@ def centres(v: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, n
     return at, u[at]
 
 
-def _smaller_before(value: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Of each value the nearest smaller one before it in its group, or -1: the links of a Cartesian tree.
-
-    All links grow at once: what lies between a value and its link so far is
-    larger, so a link to a larger value may be followed.
-    """
-    link = np.arange(-1, len(value) - 1)
-    open_ = np.arange(len(value))
-    while len(open_):
-        to = link[open_]
-        inside = (to >= 0) & (group[to] == group[open_])
-        link[open_[~inside]] = -1
-        open_, to = open_[inside], to[inside]
-        larger = value[to] > value[open_]
-        open_ = open_[larger]
-        link[open_] = link[to[larger]]
-    return link
+def _smaller_beside(value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each value the nearest smaller ones before it (or -1) and after it (or len(value)) in its group: the links of a Cartesian tree, by its right spine."""
+    before, after = [-1] * len(value), [len(value)] * len(value)
+    now, spine, own = None, [], []  # places and values, ascending
+    for i, (v, g) in enumerate(zip(value.tolist(), group.tolist())):
+        if g != now:
+            now, spine, own = g, [], []
+        while own and own[-1] > v:
+            own.pop()
+            after[spine.pop()] = i
+        if own:
+            before[i] = spine[-1]
+        spine.append(i)
+        own.append(v)
+    return np.array(before, np.int64), np.array(after, np.int64)
 
 
 def tree_extents(at: np.ndarray, value: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each centre the places up to which it stays smallest, by the Cartesian tree of each document's centres. first, last: the document's bounds."""
-    before = _smaller_before(value, first)
-    after = len(at) - 1 - _smaller_before(value[::-1], first[::-1])[::-1]
+    before, after = _smaller_beside(value, first)
     return np.where(before < 0, first, at[before] + 1), np.where(after == len(at), last, at[np.minimum(after, len(at) - 1)] - 1)
 
 
@@ -213,7 +210,7 @@ def _cells(min_words: int, bands: int):
 
 
 _JOINED = "a long, pa long, b long, pb long, key long, side int, ctx long"
-#: side of a joined row: a pair; a live cell (document, start, passages); from _LEADER on, the first cell of a signature, or of its words to the right or left.
+#: side of a joined row: a pair (key is 1 where meet_all compares it too); a live cell (document, start, passages); from _LEADER on, the first cell of a signature, or of its words to the right or left.
 _PAIR, _LIVE, _LEADER = 0, 1, 2
 #: side of the cells of a signature, the first two of each content (in ctx) that are of different documents.
 _CONTENT = -1
@@ -223,6 +220,7 @@ def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells sorted by key and document -> pairs, live cells of the first band, and leaders of the first and last key."""
     current, known, first_key, done_first = None, ({}, {}, {}), None, False
     contents: dict[int, list[tuple[int, int]]] = {}  # of the present key
+    waiting: list[tuple] = []  # pairs of the cells in contents
     held = None  # the last row of the batch before
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -237,7 +235,9 @@ def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(spot >> 32), pa.array(spot & 0xFFFFF), pa.array(none), pa.array(key), pa.array(np.full(m, _LIVE, np.int32)), pa.array(none)], names=["a", "pa", "b", "pb", "key", "side", "ctx"])
 
     def close(out: list[tuple], edge: bool) -> None:
-        """The present key is complete here. With two contents, the leader and its copies have met the others."""
+        """The present key is complete here. With two contents, the leader and its copies have met the others; with more, all that are kept meet in meet_all, and their pairs say so in key."""
+        out += [(*pair, int(len(contents) > 2), _PAIR, 0) for *pair, _, _, _ in waiting]
+        waiting.clear()
         if len(contents) > 2 or edge:
             out += [(d, p, d, p, current, _CONTENT, ctx) for ctx, own in contents.items() for d, p in own]
 
@@ -251,9 +251,10 @@ def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done_first = True
                 current, known, contents = k, ({}, {}, {}), {}
             p = (spot >> 32) + (spot >> 20 & 0xFFF)
-            _meet(out, known, d, p, ctx)
             own = contents.setdefault(ctx, [])
-            if not own or len(own) == 1 and own[0][0] != d:
+            kept = not own or len(own) == 1 and own[0][0] != d
+            _meet(waiting if kept else out, known, d, p, ctx)
+            if kept:
                 own.append((d, p))
 
     for batch in batches:
@@ -481,6 +482,86 @@ def alike(x: np.ndarray, cx: int, y: np.ndarray, cy: int, width: int, percent: i
     return found
 
 
+def _tries(back: np.ndarray, cx: np.ndarray, has: np.ndarray, cy: np.ndarray, width: int, percent: int) -> tuple[np.ndarray, ...]:
+    """Of many pairs what alike tries, from the places of x that y has (back) and those of y that x has -> first and last places of runs in x and y by their distance from the centre's, and which of (first, last) are tried."""
+    # between runs there are shingles that aren't shared, as many runs on either side
+    runs = max(back.shape[1], has.shape[1]) * (100 - percent) // (100 + percent) + 1
+    xs, ys = _around_centre(back, cx, runs), _around_centre(has, cy, runs)
+    k = min(xs[0].shape[1], ys[0].shape[1])
+    (xa, xn, xb, xm), (ya, yn, yb, ym) = ([x[:, :k] for x in s] for s in (xs, ys))
+    long = [b[:, None, :] - a[:, :, None] + 1 for a, b in ((xa, xb), (ya, yb))]
+    common = np.minimum(xm[:, None, :] - xn[:, :, None], ym[:, None, :] - yn[:, :, None])
+    tries = ((xa >= 0) & (ya >= 0))[:, :, None] & ((xb >= 0) & (yb >= 0))[:, None, :]
+    tries &= (np.minimum(*long) >= width) & ((100 + percent) * common >= percent * (long[0] + long[1]))
+    return xa, xb, ya, yb, tries
+
+
+def _taken(at: np.ndarray, xa: np.ndarray, xb: np.ndarray, ya: np.ndarray, yb: np.ndarray, tries: np.ndarray, percent: int) -> list[list[tuple[int, int, int, int]]]:
+    """What alike finds in many pairs that repeat no shared shingle. at: of each place of y that of its shingle in x; the rest is of _tries."""
+    m, k = xa.shape
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(m)]
+    rows = np.flatnonzero(tries.any(axis=(1, 2)))
+    left = np.where(tries[rows], (xb + yb)[rows, None, :] - (xa + ya)[rows, :, None] + 2, 0)
+    place = np.arange(at.shape[1])
+    while len(rows):
+        # the longest; of equal ones that which begins first
+        pick = left[:, ::-1].reshape(len(rows), -1).argmax(axis=1)
+        lo, hi = k - 1 - pick // k, pick % k
+        a, b, c, d = own = xa[rows, lo], xb[rows, hi], ya[rows, lo], yb[rows, hi]
+        x = at[rows]
+        common = np.count_nonzero((x >= a[:, None]) & (x <= b[:, None]) & (place >= c[:, None]) & (place <= d[:, None]), axis=1)
+        good = 100 * common >= percent * (b - a + d - c + 2 - common)
+        for r, *found in zip(rows[good].tolist(), *(z[good].tolist() for z in own)):
+            out[r].append(tuple(found))
+        begins, ends = (xa[rows] >= a[:, None]) & (ya[rows] >= c[:, None]), (xb[rows] <= b[:, None]) & (yb[rows] <= d[:, None])
+        left[(begins & good[:, None])[:, :, None] & ends[:, None, :]] = 0
+        left[np.arange(len(rows)), lo, hi] = 0
+        more = left.any(axis=(1, 2))
+        rows, left = rows[more], left[more]
+    return out
+
+
+#: Shingles of pairs that are compared at once.
+_AT_ONCE = 1 << 17
+
+
+def alike_all(xs: list[np.ndarray], cx: list[int], ys: list[np.ndarray], cy: list[int], width: int, percent: int) -> Iterator[list[tuple[int, int, int, int]]]:
+    """alike of each pair, of many at once; pairs that repeat a shared shingle by alike itself."""
+    step = max(1, _AT_ONCE // max(1, max(map(len, xs), default=0) + max(map(len, ys), default=0)))
+    for n in range(0, len(xs), step):
+        x, y, p, q = xs[n : n + step], ys[n : n + step], np.array(cx[n : n + step]), np.array(cy[n : n + step])
+        found = dict(zip(*_alike_some(x, p, y, q, width, percent)))
+        for k in range(len(x)):
+            yield found[k] if k in found else alike(x[k], int(p[k]), y[k], int(q[k]), width, percent)
+
+
+def _alike_some(x: list[np.ndarray], cx: np.ndarray, y: list[np.ndarray], cy: np.ndarray, width: int, percent: int) -> tuple[list[int], list[list[tuple[int, int, int, int]]]]:
+    """alike of the pairs that repeat no shared shingle -> (their numbers, what is found)."""
+    mx, my = max(map(len, x)), max(map(len, y))
+    # each row sorted: shingle (33 bits: what fills up is in neither), side, place (16)
+    v = np.empty((len(x), mx + my), np.uint64)
+    for side, part, own in ((0, v[:, :mx], x), (1, v[:, mx:], y)):
+        part[:] = (1 << 32) + side
+        part[np.arange(part.shape[1]) < np.array([len(z) for z in own])[:, None]] = np.concatenate(own)
+        part <<= np.uint64(17)
+        part |= np.arange(part.shape[1], dtype=np.uint64) | np.uint64(side << 16)
+    v.sort(axis=1)
+    same = v[:, 1:] >> np.uint64(17) == v[:, :-1] >> np.uint64(17)
+    turn = same & ((v[:, 1:] ^ v[:, :-1]) & np.uint64(1 << 16) > 0)
+    repeats = (turn[:, 1:] & same[:, :-1]).any(axis=1) | (turn[:, :-1] & same[:, 1:]).any(axis=1)
+    turn[repeats] = False
+    row, k = np.nonzero(turn)
+    at, back = np.full((len(x), my), mx, np.int32), np.zeros((len(x), mx), bool)
+    of_x, of_y = ((v[row, k + s] & np.uint64(0xFFFF)).astype(np.int64) for s in (0, 1))
+    at[row, of_y] = of_x
+    back[row, of_x] = True
+    clear = np.flatnonzero(~repeats)
+    if not len(clear):
+        return [], []
+    at = at[clear]
+    return clear.tolist(), _taken(at, *_tries(back[clear], cx[clear], at < mx, cy[clear], width, percent), percent)
+
+
 #: Cells of a signature are compared with each other in tasks of about twice so many.
 CROWD = 2048
 _SIDES = "doc_id long, start long, stop long, source long"
@@ -539,8 +620,9 @@ def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width:
     ca, cb = c + 1, c - 1  # found so far: nothing
     place = np.full(none + 1, most, np.int32)
     least = -(-percent * width // 100)
-    # between runs there are shingles that aren't shared, as many runs on either side
-    runs = most * (100 - percent) // (100 + percent) + 1
+    # cells that repeat a shingle that others have
+    numbers = np.sort(ids, axis=1)
+    repeats = ((numbers[:, 1:] == numbers[:, :-1]) & (cells[numbers[:, 1:]] > 1)).any(axis=1)
 
     # of all groups the first cells, then the second ones
     for step in range(int((ends - starts).max()) - 1):
@@ -571,15 +653,9 @@ def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width:
         keep = np.flatnonzero((has & outside[rows]).any(axis=1) | (back & outside[heads[head]]).any(axis=1))
         if not len(keep):
             continue
-        head, rows, has, back = head[keep], rows[keep], has[keep], back[keep]
+        head, rows, at, has, back = head[keep], rows[keep], at[keep], has[keep], back[keep]
         i_s = heads[head]
-        xs, ys = _around_centre(back, c[i_s], runs), _around_centre(has, c[rows], runs)
-        k = min(xs[0].shape[1], ys[0].shape[1])
-        (xa, xn, xb, xm), (ya, yn, yb, ym) = ([x[:, :k] for x in s] for s in (xs, ys))
-        long = [b[:, None, :] - a[:, :, None] + 1 for a, b in ((xa, xb), (ya, yb))]
-        common = np.minimum(xm[:, None, :] - xn[:, :, None], ym[:, None, :] - yn[:, :, None])
-        tries = ((xa >= 0) & (ya >= 0))[:, :, None] & ((xb >= 0) & (yb >= 0))[:, None, :]
-        tries &= (np.minimum(*long) >= width) & ((100 + percent) * common >= percent * (long[0] + long[1]))
+        xa, xb, ya, yb, tries = _tries(back, c[i_s], has, c[rows], width, percent)
         low, high = ya < ca[rows, None], yb > cb[rows, None]
 
         def beyond(a: int, b: int) -> np.ndarray:
@@ -588,6 +664,8 @@ def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width:
             return a + np.flatnonzero(more.any(axis=(1, 2)))
 
         every = beyond(0, len(rows))
+        clear = every[~(repeats[i_s[every]] | repeats[rows[every]])]
+        taken = dict(zip(clear.tolist(), _taken(at[clear], xa[clear], xb[clear], ya[clear], yb[clear], tries[clear], percent)))
         cuts = np.flatnonzero(np.append(True, head[every][1:] != head[every][:-1])) if len(every) else []
         for need in np.split(every, cuts[1:]) if len(every) else []:
             i, n = int(i_s[need[0]]), 0
@@ -595,7 +673,7 @@ def meet_all(doc: list[int], around: list[np.ndarray], centre: list[int], width:
             while n < len(need):
                 k = int(need[n])
                 j, n, changed = int(rows[k]), n + 1, False
-                for found in alike(around[i], centre[i], around[j], centre[j], width, percent):
+                for found in taken[k] if k in taken else alike(around[i], centre[i], around[j], centre[j], width, percent):
                     yield i, j, found
                     for x, a, b in ((i, *found[:2]), (j, *found[2:])):
                         if a < ca[x] or b > cb[x]:
@@ -663,11 +741,10 @@ def _dealt(cells: DataFrame) -> DataFrame:
 def _compare(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for a, pa_, ba, xa, b, pb, bb, xb in zip(*(batch.column(c).to_pylist() for c in ("a", "pa", "ba", "xa", "b", "pb", "bb", "xb"))):
-                for found in alike(np.frombuffer(xa, np.uint32), pa_ - ba, np.frombuffer(xb, np.uint32), pb - bb, width, percent):
-                    rows.append((a, ba + found[0], ba + found[1] + SHINGLE, b, bb + found[2], bb + found[3] + SHINGLE))
-            yield _sides(rows)
+            a, pa_, ba, xa, b, pb, bb, xb = (batch.column(c).to_pylist() for c in ("a", "pa", "ba", "xa", "b", "pb", "bb", "xb"))
+            xs, ys = ([np.frombuffer(v, np.uint32) for v in x] for x in (xa, xb))
+            every = alike_all(xs, [p - q for p, q in zip(pa_, ba)], ys, [p - q for p, q in zip(pb, bb)], width, percent)
+            yield _sides([(a[k], ba[k] + f[0], ba[k] + f[1] + SHINGLE, b[k], bb[k] + f[2], bb[k] + f[3] + SHINGLE) for k, found in enumerate(every) for f in found])
 
     return run
 
@@ -758,7 +835,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, b
     edge = joined.where(f"side >= {_LEADER}")
     leader = edge.groupBy("key", "side", "ctx").agg(F.min(F.struct("a", "pa")).alias("m"))
     across = edge.join(leader, ["key", "side", "ctx"]).where("m.a != a").selectExpr("m.a as a", "m.pa as pa", "a as b", "pa as pb")
-    every = joined.where(f"side = {_PAIR}").select("a", "pa", "b", "pb").unionByName(across)
+    every = joined.where(f"side = {_PAIR} and key = 0").select("a", "pa", "b", "pb").unionByName(across)
     pairs = every.groupBy("a", "b", F.expr("pa - pb").alias("diagonal"), F.expr(f"pa div {BLOCK}").alias("block")).agg(F.min("pa").alias("pa")).selectExpr("a", "pa", "b", "pa - diagonal as pb")
     pairs = scratch.table("pairs", pairs)
 
