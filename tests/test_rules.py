@@ -468,3 +468,19 @@ def test_more_rows_than_a_kernel_matrix_may_have(monkeypatch, params):
     blocks = models.KernelMachine(x, y, *params)
     assert np.abs(blocks.scores(x[:150]) - whole.scores(x[:150])).max() < 1e-6
     assert len(models.DenseNet(x, y, x, y, epochs=1).history) == 1
+
+
+def test_kernel_machines_of_many_rows_take_few_steps_in_many_tasks(spark, monkeypatch):
+    """Beyond MOST_ROWS the answers are those of the whole matrix, after a few steps, each made by many tasks."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(900, 20)) + 0.5 * r.normal(size=(4, 20))[np.arange(900) % 4]
+    data = [(k, int(k % 4), x[k].tolist(), "Validation" if k % 5 == 0 else "Train") for k in range(900)]
+    rows = spark.createDataFrame(data, "row_id long, label int, features array<double>, split string")
+    configs = [{"name": "rbf", "model": "svm_rbf", "c": 10.0}, {"name": "poly", "model": "svm_poly", "c": 1.0, "degree": 3, "coef0": 0.0}, {"name": "net", "model": "net", "seed": 42, "epochs": 2}]
+    want = sorted(map(tuple, models.run_bounded(rows, configs).collect()))
+    monkeypatch.setattr(models, "MOST_ROWS", 100)
+    monkeypatch.setattr(models, "TILE", 64)
+    made, solve = [], models.KernelMachine
+    monkeypatch.setattr(models, "KernelMachine", lambda *a, **k: made.append(solve(*a, **k)) or made[-1])
+    assert sorted(map(tuple, models.run_bounded(rows, configs).collect())) == want
+    assert len(want) == 3 * 180 and [m.steps > 0 for m in made] == [True, True] and max(m.steps for m in made) < 45
